@@ -110,7 +110,7 @@ class PairIndex:
 class Encoder:
     """Texts to ids as little-endian unsigned 32-bit values, and back."""
 
-    def __init__(self, path: str | None = None):
+    def __init__(self, path: str | None = None, specials: bool = True):
         import regex
 
         if path is None:
@@ -123,9 +123,10 @@ class Encoder:
         self.special = {x["content"]: x["id"] for x in spec.get("added_tokens", [])}
         self.bytes_of = self.pairs.text_of | {i: s.encode() for s, i in self.special.items()}
         self.decimal = {i: str(i) for i in self.bytes_of}
+        self.named = self.special if specials else {}  # special tokens that texts may name
         self._pretokens = regex.compile(PRETOKEN).findall
         self._two_spaces = regex.compile(r"\s\s").search
-        self._split = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")").split if self.special else None
+        self._split = regex.compile("(" + "|".join(map(regex.escape, sorted(self.named, key=len, reverse=True))) + ")").split if self.named else None
         # encoded words as they stand, and after one space: the young and the old generation of each
         self.plain: tuple[dict[str, bytes], dict[str, bytes]] = ({}, {})
         self.spaced: tuple[dict[str, bytes], dict[str, bytes]] = ({}, {})
@@ -172,11 +173,11 @@ class Encoder:
         plain: set[str] = {"\n"}
         spaced: set[str] = set()
         for text in texts:
-            parts = self._split(text) if self._split and any(s in text for s in self.special) else [text]
+            parts = self._split(text) if self._split and any(s in text for s in self.named) else [text]
             job: list = []
             for part in parts:
-                if part in self.special:
-                    job.append(self.special[part])
+                if part in self.named:
+                    job.append(self.named[part])
                 elif self._two_spaces(part):
                     own = self._pretokens(part)
                     plain.update(own)
