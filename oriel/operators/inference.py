@@ -39,16 +39,16 @@ def diebold_mariano(long: DataFrame, lag: int | None = None, kernel: str = "rect
     """Every ordered pair of models for each (asset, horizon): statistic, p_value, mean_diff, variance, n.
 
     Pairs are complete pair by pair, and lags run over the compressed sequence.
-    A self-join on the origin, then grouped sums; only the t distribution needs
+    Grouped sums over arrays of differences; only the t distribution needs
     Python.  The reversed pair follows by antisymmetry.
     """
     if kernel not in ("rectangular", "bartlett"):
         raise ValueError(f"unknown kernel {kernel}")
-    key = ["asset", "horizon", "origin_index"]
-    a = long.where("loss is not null").select(*key, F.col("model").alias("model_a"), F.col("loss").alias("la"))
-    b = long.where("loss is not null").select(*key, F.col("model").alias("model_b"), F.col("loss").alias("lb"))
     by = ["asset", "horizon", "model_a", "model_b"]
-    d = a.join(b, key).where("model_a < model_b").select(*by, "origin_index", (F.col("la") - F.col("lb")).alias("d"))
+    # the losses of an origin are as many as there are models: pairs come from one array, without a self-join
+    sets = long.where("loss is not null").groupBy("asset", "horizon", "origin_index").agg(F.array_sort(F.collect_list(F.struct("model", "loss"))).alias("l"))
+    pairs = F.flatten(F.transform("l", lambda x: F.transform(F.filter("l", lambda y: y["model"] > x["model"]), lambda y: F.struct(x["model"].alias("model_a"), y["model"].alias("model_b"), (x["loss"] - y["loss"]).alias("d")))))
+    d = sets.select("asset", "horizon", "origin_index", F.explode(pairs).alias("p")).select("asset", "horizon", "p.model_a", "p.model_b", "origin_index", "p.d")
     d = d.withColumns({"mean": F.avg("d").over(Window.partitionBy(*by)), "lags": F.lit(lag) if lag is not None else F.col("horizon") - 1})
     d = d.withColumns({"e": F.col("d") - F.col("mean"), "t": F.row_number().over(Window.partitionBy(*by).orderBy("origin_index"))})
     arrays = d.groupBy(*by).agg(F.count("*").alias("n"), F.first("mean").alias("mean_diff"), F.first("lags").alias("lags"), F.transform(F.array_sort(F.collect_list(F.struct("t", "e"))), lambda x: x["e"]).alias("e"))
@@ -70,8 +70,9 @@ def diebold_mariano(long: DataFrame, lag: int | None = None, kernel: str = "rect
         return pd.Series([math.erfc(abs(s) / math.sqrt(2)) for s in stat])
 
     out = out.withColumn("p_value", p_value("statistic", "n"))
-    mirrored = out.select("asset", "horizon", F.col("model_b").alias("model_a"), F.col("model_a").alias("model_b"), "n", (-F.col("mean_diff")).alias("mean_diff"), "variance", (-F.col("statistic")).alias("statistic"), "p_value")
-    return out.select(mirrored.columns).unionByName(mirrored)
+    side = lambda a, b, sign: F.struct(F.col(a).alias("model_a"), F.col(b).alias("model_b"), (sign * F.col("mean_diff")).alias("mean_diff"), (sign * F.col("statistic")).alias("statistic"))
+    both = out.select("asset", "horizon", "n", "variance", "p_value", F.explode(F.array(side("model_a", "model_b", 1.0), side("model_b", "model_a", -1.0))).alias("s"))
+    return both.select("asset", "horizon", "s.model_a", "s.model_b", "n", "s.mean_diff", "variance", "s.statistic", "p_value")
 
 
 def block_sums(long: DataFrame, length: int) -> DataFrame:

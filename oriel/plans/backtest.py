@@ -145,6 +145,19 @@ def run_block(model, pdf: pd.DataFrame, s: Pos.Splitter, arm: Arm, proxy_name: s
     return pd.DataFrame(rows)
 
 
+def _block_runner(by_name: dict, s: Pos.Splitter, arm: Arm, proxy: str, seed: int, compact: bool, names: list[str], kinds: dict):
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        got = run_block(by_name[pdf.model.iloc[0]], pdf, s, arm, proxy, seed, compact)
+        for n in names:
+            if n not in got:
+                got[n] = None if kinds[n] == "string" else np.nan
+        got = got[names]
+        # NaN becomes null, so that averages skip it
+        return got.astype({n: "object" for n in names if kinds[n] == "double"}).where(got.notna(), None)
+
+    return one
+
+
 def block_scores(series: DataFrame, models, s: Pos.Splitter, ret: str, proxy: str, variance: str | None = None, arm: Arm = Arm(), seed: int = 0, compact: bool = False) -> DataFrame:
     """Scored rows of block models: series (asset, ts, pos, n, ret, proxy[, variance]).
 
@@ -178,15 +191,6 @@ def block_scores(series: DataFrame, models, s: Pos.Splitter, ret: str, proxy: st
         rows = rows.select("*", F.explode(F.array(*[F.lit(m.name) for m in chosen])).alias("model"))
         by_name = {m.name: m for m in chosen}
 
-        def one(pdf: pd.DataFrame, by_name: dict = by_name) -> pd.DataFrame:
-            got = run_block(by_name[pdf.model.iloc[0]], pdf, s, arm, proxy, seed, compact)
-            for n in names:
-                if n not in got:
-                    got[n] = None if kinds[n] == "string" else np.nan
-            got = got[names]
-            # NaN becomes null, so that averages skip it
-            return got.astype({n: "object" for n in names if kinds[n] == "double"}).where(got.notna(), None)
-
-        part = rows.groupBy("asset", "model", "block").applyInPandas(one, schema)
+        part = rows.groupBy("asset", "model", "block").applyInPandas(_block_runner(by_name, s, arm, proxy, seed, compact, names, kinds), schema)
         out = part if out is None else out.unionByName(part)
     return out
