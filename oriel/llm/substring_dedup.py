@@ -127,7 +127,7 @@ def _requests(sieve, buckets: int, window: int, gram: int):
                 if len(here):
                     for piece in np.split(here, np.flatnonzero(np.diff(doc[here])) + 1):
                         d = lo + int(doc[piece[0]])
-                        out.append((int(keys[d] % buckets), int(ids[d]), int(keys[d]), place[piece].tobytes()))
+                        out.append(((int(ids[d]) * 2654435761 + int(keys[d])) % buckets, int(ids[d]), int(keys[d]), place[piece].tobytes()))
                 bucket = (one[first] % np.uint64(buckets)).astype(np.int64)
                 by = np.argsort(bucket, kind="stable")
                 first, bucket, seen = first[by], bucket[by], (count > 1)[by]
