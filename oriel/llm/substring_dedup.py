@@ -54,7 +54,8 @@ def fingerprints(words: Words, window: int, gram: int):
 
 
 def run_of(docs: DataFrame, text: str = "text", window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """The sorted run (fp, n) of a batch of documents; n counts places of the gram."""
+    """The sorted run (fp, n) of a batch of documents; n counts places of the
+    gram in the blocks that index it: two at least if a window of it repeats."""
 
     def emit(batches):
         for b in batches:
