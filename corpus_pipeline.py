@@ -40,7 +40,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
     rows = docs.select(COLUMNS).withColumn("i", F.coalesce("doc_id", F.lit(-(2**63))))
     groups = ngram_join.linked(rows, key="i")
-    stay = groups.where("i = component_id").select("i").distinct()
+    stay = groups.where("i = component_id").select("i").distinct().hint("merge")
     once = Window.partitionBy("i", F.xxhash64("text")).orderBy("i")
     return rows.join(stay, "i", "left_semi").withColumn("nth", F.row_number().over(once)).where("nth = 1").select(COLUMNS)
 

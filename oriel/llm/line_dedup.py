@@ -115,7 +115,9 @@ def without_shared_lines(docs: DataFrame, key: str = "doc_id", text: str = "text
     gone = both.mapInArrow(align, "i long, tk long, gone array<int>").where(F.size("gone") > 0)
     gone = written(gone.groupBy("i", "tk").agg(F.array_distinct(F.flatten(F.collect_list("gone"))).alias("gone")), "deleted-lines")
     named = {c: f"`{c}`" for c in docs.columns}
-    out = docs.withColumns({"__i": i, "__tk": tk}).join(gone.select(F.col("i").alias("__i"), F.col("tk").alias("__tk"), F.col("gone").alias("__gone")), ["__i", "__tk"], "left")
+    # always by merge: the deletions grow with the documents, so the plan is the same at every size
+    keyed = gone.select(F.col("i").alias("__i"), F.col("tk").alias("__tk"), F.col("gone").alias("__gone")).hint("merge")
+    out = docs.withColumns({"__i": i, "__tk": tk}).join(keyed, ["__i", "__tk"], "left")
     numbered = F.split(text_or_empty(text), "\n")
     # the number of a line among those with words, -1 for others
     with_words = F.transform(numbered, lambda x: (F.trim(F.regexp_replace(x, SPACE, " ")) != "").cast("int"))
