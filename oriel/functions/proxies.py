@@ -72,7 +72,8 @@ PROXIES = {
 
 def consistent() -> Column:
     """low <= min(open, close) and max(open, close) <= high; false where a price is missing."""
-    return F.coalesce((F.col("low") <= F.least("open", "close")) & (F.greatest("open", "close") <= F.col("high")), F.lit(False))
+    c = F.col  # comparisons one by one: least and greatest would pass over a missing price
+    return F.coalesce((c("low") <= c("open")) & (c("low") <= c("close")) & (c("open") <= c("high")) & (c("close") <= c("high")), F.lit(False))
 
 
 def violation() -> Column:

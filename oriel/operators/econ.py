@@ -35,7 +35,7 @@ def path(rows: DataFrame, book: Book = Book()) -> DataFrame:
     upto = by.rowsBetween(Window.unboundedPreceding, 0)
     year = F.lit(book.periods) if book.periods else periods_per_year(F.col("asset"))
     vol = F.sqrt(F.when(F.col("forecast_var") > 0, F.col("forecast_var"))) * book.scale
-    out = rows.withColumn("periods_per_year", year).withColumn("position", F.coalesce(F.least(book.annual_target_vol / F.sqrt("periods_per_year") / vol, F.lit(book.leverage_cap)), F.lit(0.0)))
+    out = rows.withColumn("periods_per_year", year).withColumn("position", F.when(vol.isNotNull(), F.least(book.annual_target_vol / F.sqrt("periods_per_year") / vol, F.lit(book.leverage_cap))).otherwise(0.0))
     simple = F.coalesce(F.expm1(F.col("realized_return") * book.scale), F.lit(0.0))
     out = out.withColumns({"gross": F.col("position") * simple, "turnover": F.abs(F.col("position") - F.coalesce(F.lag("position").over(by), F.lit(0.0)))})
     out = out.withColumn("net", F.col("gross") - F.col("turnover") * (book.cost_bps / 10_000))

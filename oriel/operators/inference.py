@@ -46,12 +46,12 @@ def diebold_mariano(long: DataFrame, lag: int | None = None, kernel: str = "rect
         raise ValueError(f"unknown kernel {kernel}")
     by = ["asset", "horizon", "model_a", "model_b"]
     # the losses of an origin are as many as there are models: pairs come from one array, without a self-join
-    sets = long.where("loss is not null").groupBy("asset", "horizon", "origin_index").agg(F.array_sort(F.collect_list(F.struct("model", "loss"))).alias("l"))
+    sets = long.where("loss is not null").groupBy("asset", "horizon", "origin_index").agg(F.sort_array(F.collect_list(F.struct("model", "loss"))).alias("l"))
     pairs = F.flatten(F.transform("l", lambda x: F.transform(F.filter("l", lambda y: y["model"] > x["model"]), lambda y: F.struct(x["model"].alias("model_a"), y["model"].alias("model_b"), (x["loss"] - y["loss"]).alias("d")))))
     d = sets.select("asset", "horizon", "origin_index", F.explode(pairs).alias("p")).select("asset", "horizon", "p.model_a", "p.model_b", "origin_index", "p.d")
     d = d.withColumns({"mean": F.avg("d").over(Window.partitionBy(*by)), "lags": F.lit(lag) if lag is not None else F.col("horizon") - 1})
     d = d.withColumns({"e": F.col("d") - F.col("mean"), "t": F.row_number().over(Window.partitionBy(*by).orderBy("origin_index"))})
-    arrays = d.groupBy(*by).agg(F.count("*").alias("n"), F.first("mean").alias("mean_diff"), F.first("lags").alias("lags"), F.transform(F.array_sort(F.collect_list(F.struct("t", "e"))), lambda x: x["e"]).alias("e"))
+    arrays = d.groupBy(*by).agg(F.count("*").alias("n"), F.first("mean").alias("mean_diff"), F.first("lags").alias("lags"), F.transform(F.sort_array(F.collect_list(F.struct("t", "e"))), lambda x: x["e"]).alias("e"))
     gamma = lambda k: F.aggregate(F.zip_with(F.slice("e", k + 1, F.greatest(F.size("e") - k, F.lit(0))), F.slice("e", 1, F.greatest(F.size("e") - k, F.lit(0))), lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x) / F.col("n")
     h = F.col("lags") + 1
     weight = (lambda k: F.lit(1.0)) if kernel == "rectangular" else (lambda k: 1 - k / h)

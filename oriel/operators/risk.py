@@ -55,7 +55,7 @@ def hit_tests(hits: DataFrame) -> DataFrame:
     at_level = xl(zero, 1 - level) + xl(one, level)
     at_pi = xl(zero, 1 - c("pi")) + xl(one, c("pi"))
     markov = xl(c("n00").cast("double"), 1 - c("pi01")) + xl(c("n01").cast("double"), c("pi01")) + xl(c("n10").cast("double"), 1 - c("pi11")) + xl(c("n11").cast("double"), c("pi11"))
-    ratio = lambda a, b: F.greatest(-2 * (a - b), F.lit(0.0))
+    ratio = lambda a, b: F.when(n > 0, F.greatest(-2 * (a - b), F.lit(0.0)))
     out = out.withColumns({"lr_pof": ratio(null, free), "lr_uc": ratio(at_level, at_pi), "lr_ind": ratio(at_pi, markov)})
     out = out.withColumn("lr_cc", c("lr_uc") + c("lr_ind"))
     return out.withColumns({"p_pof": chi2_sf(c("lr_pof"), 1), "p_uc": chi2_sf(c("lr_uc"), 1), "p_ind": chi2_sf(c("lr_ind"), 1), "p_cc": chi2_sf(c("lr_cc"), 2)})

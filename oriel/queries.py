@@ -333,7 +333,7 @@ def level_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
 def empirical_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """CRPS of the last 50 returns taken as samples, by the sorted identity, in array functions."""
     rows = positions.train_windows(series(spark, sf_dir), "ret", 50).where("train is not null")
-    v, n = F.array_sort("train"), F.size("train")
+    v, n = F.sort_array("train"), F.size("train")
     rows = rows.withColumn("next", F.lead("ret").over(positions.by_pos())).withColumn("v", v)
     near = F.aggregate("v", F.lit(0.0), lambda a, x: a + F.abs(x - F.col("next"))) / n
     spread = F.aggregate(F.transform("v", lambda x, i: (2 * (i + 1) - n - 1) * x), F.lit(0.0), lambda a, x: a + x) / (n * n)
