@@ -46,7 +46,8 @@ def diebold_mariano(long: DataFrame, lag: int | None = None, kernel: str = "rect
         raise ValueError(f"unknown kernel {kernel}")
     by = ["asset", "horizon", "model_a", "model_b"]
     # the losses of an origin are as many as there are models: pairs come from one array, without a self-join
-    sets = long.where("loss is not null").groupBy("asset", "horizon", "origin_index").agg(F.sort_array(F.collect_list(F.struct("model", "loss"))).alias("l"))
+    # (collect_list passes over missing ones; a filter would carry the score's whole expression down the plan)
+    sets = long.groupBy("asset", "horizon", "origin_index").agg(F.sort_array(F.collect_list(F.when(F.col("loss").isNotNull(), F.struct("model", "loss")))).alias("l"))
     pairs = F.flatten(F.transform("l", lambda x: F.transform(F.filter("l", lambda y: y["model"] > x["model"]), lambda y: F.struct(x["model"].alias("model_a"), y["model"].alias("model_b"), (x["loss"] - y["loss"]).alias("d")))))
     d = sets.select("asset", "horizon", "origin_index", F.explode(pairs).alias("p")).select("asset", "horizon", "p.model_a", "p.model_b", "origin_index", "p.d")
     d = d.withColumns({"mean": F.avg("d").over(Window.partitionBy(*by)), "lags": F.lit(lag) if lag is not None else F.col("horizon") - 1})
