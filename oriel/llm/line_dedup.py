@@ -1,25 +1,38 @@
 """Line deduplication by pairwise alignment.
 
 Documents overlap where they share hashes of telling lines (rare ones: at least
-``min_words`` words).  For every such line the later documents are paired with
-the earliest that holds it, so a line that a third of all documents share
-gives a pair for each of them and no more.  Each pair is aligned by
-patience diff on line hashes, and common blocks of at least ``min_words`` words
-are deleted from the later document.
+``min_words`` words).  Each pair is aligned by patience diff on line hashes, and
+common blocks of at least ``min_words`` words are deleted from the later
+document.  The result is that of aligning with every earlier overlapping
+document, but most pairs are never made:
+
+* Whatever is deleted lies in a window, the fewest neighbouring lines around a
+  line that hold ``min_words`` words, and the earlier document holds that
+  window too.  In round 1 a later document meets the earliest holder of each of
+  its windows, so a line that a third of all documents share gives a pair for
+  each of them and no more.
+* Windows with a line that stays go on: in round 2 to ``FEW`` further holders,
+  in round 3 to all.  Holders that differ only in lines which no document still
+  in question has align with these alike; only the earliest of them is met.
 """
 
 from __future__ import annotations
 
+import hashlib
 from bisect import bisect_left
 from collections import Counter
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import SPACE, text_or_empty, written
+from .base import SPACE, Bloom, bloom_of, text_or_empty, written
 
 _NONE = -(2**63)
+#: Holders of a window that round 2 tries. Decides only how much is left to round 3, which tries all.
+FEW = 8
+_LEFT = "array<struct<x: long, lo: int, n: int>>"
 
 
 def _increasing(values: list[int]) -> list[int]:
@@ -87,6 +100,104 @@ def common_blocks(a: list[int], b: list[int], words: list[int], min_words: int)
     return gone
 
 
+def windows(h: list[int], words: list[int], min_words: int) -> list[tuple[int, int, int]]:
+    """(hash, first line, lines) of each window: for every line the shortest that begin or end there and have ``min_words`` words."""
+    out = []
+    for k, n in enumerate(words):
+        if n >= min_words:
+            out.append((h[k], k, 1))
+            continue
+        j, total = k, n
+        while total < min_words and j + 1 < len(h):
+            j += 1
+            total += words[j]
+        if total >= min_words:
+            out.append((hash(tuple(h[k : j + 1])), k, j + 1 - k))
+        j, total = k, n
+        while total < min_words and j:
+            j -= 1
+            total += words[j]
+        if total >= min_words:
+            out.append((hash(tuple(h[j : k + 1])), j, k + 1 - j))
+    return out
+
+
+def _postings(arrays: DataFrame, min_words: int) -> DataFrame:
+    """(d, x): the windows of each document."""
+
+    def run(batches):
+        for b in batches:
+            found = [list({x for x, _, _ in windows(h, w, min_words)}) for h, w in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(found, pa.list_(pa.int64()))], ["i", "tk", "x"])
+
+    return arrays.select("i", "tk", "h", "w").mapInArrow(run, "i long, tk long, x array<long>").select(F.struct("i", "tk").alias("d"), F.explode("x").alias("x"))
+
+
+def _holders(arrays: DataFrame, asked: Bloom, lines: Bloom, min_words: int) -> DataFrame:
+    """(x, c, e): documents with windows in ``asked``; ``c`` is the same where they are the same but for lines outside ``lines``.
+
+    What the filters let through by mistake only parts documents that need not be apart.
+    """
+
+    def run(batches):
+        for b in batches:
+            h = b.column(2)
+            flat, ends = h.flatten().to_numpy(zero_copy_only=False), np.cumsum(h.value_lengths().to_numpy(zero_copy_only=False))
+            known = lines.has(flat.view(np.uint64))
+            before = np.concatenate([[0], np.cumsum(known)])[np.concatenate([[0], ends])]
+            i, tk, c, x = [], [], [], []
+            for k in np.flatnonzero(np.diff(before)):
+                lo, hi = int(ends[k - 1]) if k else 0, int(ends[k])
+                own = flat[lo:hi]
+                found = np.array(list({y for y, _, _ in windows(own.tolist(), b.column(3)[int(k)].as_py(), min_words)}), np.int64)
+                found = found[asked.has(found.view(np.uint64))]
+                if not len(found):
+                    continue
+                # runs of unknown lines become one mark
+                on = known[lo:hi]
+                stay = on | np.concatenate([[True], on[:-1]])
+                shape = hashlib.blake2b(np.where(on, own, 0)[stay].tobytes() + on[stay].tobytes(), digest_size=8).digest()
+                i += [b.column(0)[int(k)].as_py()] * len(found)
+                tk += [b.column(1)[int(k)].as_py()] * len(found)
+                c += [int.from_bytes(shape, "little", signed=True)] * len(found)
+                x += found.tolist()
+            yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in (i, tk, c, x)], ["i", "tk", "c", "x"])
+
+    return arrays.select("i", "tk", "h", "w").mapInArrow(run, "i long, tk long, c long, x long").select("x", "c", F.struct("i", "tk").alias("e"))
+
+
+def _aligned(pairs: DataFrame, arrays: DataFrame, min_words: int) -> DataFrame:
+    """(i, tk, gone, left) of pairs (d, e, x): lines that go from d, and the windows of ``x`` with a line that stays."""
+
+    def run(batches):
+        for b in batches:
+            gone, left = [], []
+            for h, w, other, asked in zip(*(b.column(k).to_pylist() for k in range(2, 6)), strict=True):
+                common = set(other)
+                out = common_blocks(h, other, w, min_words) if any(n >= min_words and y in common for y, n in zip(h, w, strict=True)) else []
+                gone.append(out)
+                out, asked = set(out), set(asked)
+                stays = [] if len(out) == len(h) else windows(h, w, min_words)
+                left.append([{"x": x, "lo": lo, "n": n} for x, lo, n in stays if x in asked and not out.issuperset(range(lo, lo + n))])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(gone, pa.list_(pa.int32())), pa.array(left, pa.list_(pa.struct([("x", pa.int64()), ("lo", pa.int32()), ("n", pa.int32())])))], ["i", "tk", "gone", "left"])
+
+    one = pairs.groupBy("d", "e").agg(F.collect_set("x").alias("x")).select(F.col("d.i").alias("i"), F.col("d.tk").alias("tk"), F.col("e.i").alias("ei"), F.col("e.tk").alias("etk"), "x")
+    other = arrays.select(F.col("i").alias("ei"), F.col("tk").alias("etk"), F.col("h").alias("eh"))
+    both = written(one, "overlaps").join(arrays, ["i", "tk"]).join(other, ["ei", "etk"]).select("i", "tk", "h", "w", "eh", "x")
+    return written(both.mapInArrow(run, f"i long, tk long, gone array<int>, left {_LEFT}").where("size(gone) > 0 or size(left) > 0"), "aligned")
+
+
+def _gone(aligned: DataFrame) -> DataFrame:
+    return aligned.where("size(gone) > 0").groupBy("i", "tk").agg(F.array_distinct(F.flatten(F.collect_list("gone"))).alias("gone"))
+
+
+def _left(aligned: DataFrame, gone: DataFrame) -> DataFrame:
+    """(d, x) of the windows with a line that stays after all alignments."""
+    rows = aligned.where("size(left) > 0").select("i", "tk", F.explode("left").alias("l")).join(gone, ["i", "tk"], "left")
+    stays = F.exists(F.sequence("l.lo", F.col("l.lo") + F.col("l.n") - 1), lambda k: ~F.array_contains(F.coalesce("gone", F.array().cast("array<int>")), k))
+    return written(rows.where(stays).select(F.struct("i", "tk").alias("d"), F.col("l.x").alias("x")).distinct(), "left-windows")
+
+
 def without_shared_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_words: int = 5) -> DataFrame:
     """All columns of ``docs``, with n_lines, n_removed and kept_text added.
 
@@ -101,19 +212,24 @@ def without_shared_lines(docs: DataFrame, key: str = "doc_id", text: str = "text
     lines = t.select("i", "tk", F.filter(plain, lambda x: x != "").alias("l")).where(F.size("l") > 0)
     arrays = lines.select("i", "tk", F.transform("l", lambda x: F.xxhash64(x)).alias("h"), F.transform("l", lambda x: (F.length(x) - F.length(F.translate(x, " ", "")) + 1).cast("int")).alias("w"))
     arrays = written(arrays.dropDuplicates(["i", "tk"]), "line-hashes")
-    telling = arrays.select(F.struct("i", "tk").alias("d"), F.explode(F.array_distinct(F.transform(F.filter(F.arrays_zip("h", "w"), lambda x: x["w"] >= min_words), lambda x: x["h"]))).alias("h"))
-    # lines in two documents or more, and the earliest holder of each
-    shared = written(telling.groupBy("h").agg(F.min("d").alias("e"), F.max("d").alias("z")).where("e <> z").select("h", "e"), "shared-lines")
-    pairs = written(telling.join(shared, "h").where("d <> e").select("d", "e").distinct().select(F.col("d.i").alias("i"), F.col("d.tk").alias("tk"), F.col("e.i").alias("ei"), F.col("e.tk").alias("etk")), "overlaps")
-    both = pairs.join(arrays, ["i", "tk"]).join(arrays.select(F.col("i").alias("ei"), F.col("tk").alias("etk"), F.col("h").alias("eh")), ["ei", "etk"]).select("i", "tk", "h", "w", "eh")
-
-    def align(batches):
-        for b in batches:
-            gone = [common_blocks(x, y, w, min_words) for x, w, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), b.column(4).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(gone, pa.list_(pa.int32()))], ["i", "tk", "gone"])
-
-    gone = both.mapInArrow(align, "i long, tk long, gone array<int>").where(F.size("gone") > 0)
-    gone = written(gone.groupBy("i", "tk").agg(F.array_distinct(F.flatten(F.collect_list("gone"))).alias("gone")), "deleted-lines")
+    postings = _postings(arrays, min_words)
+    # windows in two documents or more, and the earliest holder of each
+    shared = written(postings.groupBy("x").agg(F.min("d").alias("e"), F.max("d").alias("z")).where("e <> z").select("x", "e"), "shared-lines")
+    aligned = _aligned(postings.join(shared, "x").where("d <> e"), arrays, min_words)
+    gone = written(_gone(aligned), "deleted-lines")
+    left = _left(aligned, gone)
+    for few in (FEW, None):
+        if left.isEmpty():
+            break
+        asked = left.select("d.i", "d.tk").distinct().join(arrays, ["i", "tk"]).select(F.explode("h").alias("h"))
+        holders = _holders(arrays, bloom_of(left.select("x"), "x"), bloom_of(asked, "h"), min_words)
+        alike = F.col("c") if few is None else F.pmod(F.col("c"), F.lit(few))
+        met = holders.groupBy("x", alike.alias("c")).agg(F.min("e").alias("e"))
+        further = _aligned(left.join(met, "x").where("e < d").select("d", "e", "x"), arrays, min_words)
+        aligned = aligned.unionByName(further)
+        gone = written(_gone(aligned), "deleted-lines")
+        if few is not None:
+            left = _left(further, gone)
     named = {c: f"`{c}`" for c in docs.columns}
     # always by merge: the deletions grow with the documents, so the plan is the same at every size
     keyed = gone.select(F.col("i").alias("__i"), F.col("tk").alias("__tk"), F.col("gone").alias("__gone")).hint("merge")

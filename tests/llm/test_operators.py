@@ -359,6 +359,22 @@ def test_line_dedup(docs, none, rows):
     assert line_dedup.without_shared_lines(none).count() == 0
 
 
+def test_line_dedup_meets_every_earlier_holder(spark):
+    rng = random.Random(11)
+    line = [f"template line number {k} of many words" for k in range(6)] + ["by me", "read on", "top", "three short words"]
+    texts = [[line[0], line[1]], [line[1], line[0]], [line[1], "own words of this document only", line[0]], [line[0], line[0]], [line[2], line[0], line[0]]]
+    texts += [[rng.choice(line) if rng.random() < 0.7 else f"own line {k} {j} of one document" for j in range(rng.randrange(1, 9))] for k in range(300)]
+    docs = spark.createDataFrame([(k, "\n".join(x)) for k, x in enumerate(texts)], "doc_id long, text string").repartition(3)
+    expected = []
+    for k, a in enumerate(texts):
+        size, gone = [len(x.split()) for x in a], set()
+        for b in texts[:k]:
+            if any(n >= 5 and x in b for x, n in zip(a, size, strict=True)):
+                gone |= set(line_dedup.common_blocks(a, b, size, 5))
+        expected.append((k, len(a), len(gone), "\n".join(x for n, x in enumerate(a) if n not in gone)))
+    same([(r["doc_id"], r["n_lines"], r["n_removed"], r["kept_text"]) for r in line_dedup.without_shared_lines(docs).collect()], expected)
+
+
 def test_patience():
     rng = random.Random(4)
     for _ in range(200):
