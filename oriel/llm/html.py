@@ -3,9 +3,10 @@
 The page becomes blocks (text between block-level tags, outside dropped
 elements).  Pass 1 decides each block from length, link density and stop-word
 density; blocks too short to tell stay open.  Pass 2 gives open blocks the label
-of their nearest decided neighbours.  An ``article`` or ``main`` element is
-structure that decides for itself: its blocks are content unless their links
-or class names speak against them.
+of their nearest decided neighbours.  Being inside an ``article`` or ``main``
+element is one feature among these: it allows more links, and an open block in
+it is content unless its neighbours within the element speak against that.  On
+a page with most of its text inside, blocks outside need length and stop words.
 """
 
 from __future__ import annotations
@@ -91,7 +92,8 @@ def blocks_of(page: str) -> list[tuple[str, int, bool]]:
                         break
                     if stack[k][0] in BLOCK | DROPPED:
                         break
-            main = name in ("article", "main")
+            # a teaser or a reader's comment says nothing about the page
+            main = name in ("article", "main") and not any(ASIDE.search(attributes.get(k, "")) for k in ("class", "id", "role"))
             stack.append((name, away, main))
             dropped += away
             article += main
@@ -114,35 +116,38 @@ def blocks_of(page: str) -> list[tuple[str, int, bool]]:
     return out
 
 
+def _neighbours(labels: list[int], blocks: list[tuple[str, int, bool]]) -> list[int]:
+    """Label of the last decided block up to each; inside an article only of those within it, its edge being content."""
+    out, last, within = [], BOILERPLATE, CONTENT
+    for x, (_, _, inside) in zip(labels, blocks, strict=True):
+        last = x or last
+        within = (x or within) if inside else CONTENT
+        out.append(within if inside else last)
+    return out
+
+
 def classified(blocks: list[tuple[str, int, bool]]) -> list[str]:
     """Pass 1 and pass 2; the texts of content blocks in order."""
-    framed = any(x[2] for x in blocks)
+    framed = 2 * sum(len(x[0]) for x in blocks if x[2]) > sum(len(x[0]) for x in blocks)
     labels = []
     for text, linked, inside in blocks:
         words = text.split(" ")
         link = linked / max(1, len(text))
         stop = sum(w.strip(".,;:!?\"'()").lower() in STOP for w in words) / len(words)
-        if framed:
-            labels.append(CONTENT if inside and link <= 0.5 else BOILERPLATE)
-        elif link > 0.33:
+        if link > (0.5 if inside else 0.33):
             labels.append(BOILERPLATE)
         elif len(words) < 8:
             labels.append(OPEN)
+        elif framed and not inside:
+            labels.append(CONTENT if stop >= 0.1 and len(words) >= 20 else OPEN)
         elif stop >= 0.1 or len(words) >= 20:
             labels.append(CONTENT)
         else:
             labels.append(OPEN)
     if OPEN in labels:
-        before, last = [], BOILERPLATE
-        for x in labels:
-            last = x or last
-            before.append(last)
-        after, last = [], BOILERPLATE
-        for x in reversed(labels):
-            last = x or last
-            after.append(last)
-        after.reverse()
-        labels = [x or (CONTENT if b == a == CONTENT else BOILERPLATE) for x, b, a in zip(labels, before, after, strict=True)]
+        before = _neighbours(labels, blocks)
+        after = _neighbours(labels[::-1], blocks[::-1])[::-1]
+        labels = [x or (max(b, a) if inside else min(b, a)) for x, b, a, (_, _, inside) in zip(labels, before, after, blocks, strict=True)]
     return [b[0] for b, x in zip(blocks, labels, strict=True) if x == CONTENT]
 
 

@@ -144,6 +144,18 @@ def test_html(spark):
     assert html.main_text(loose) == f"{long}\n\nShort one.\n\n{long}"
 
 
+def test_html_outside_of_an_article():
+    long = "the story of a town and of the people in it who went on with the work that was to be done"
+    # main text outside, the article only a teaser or a comment
+    for teaser in ("<article>Read on here.</article>", "<article class=comment>So true.</article>"):
+        text = html.main_text(f"<body>{teaser}<div><p>{long}<p>{long}<p>Short one.<p>{long}</div></body>")
+        assert text.endswith(f"{long}\n\n{long}\n\nShort one.\n\n{long}")
+        assert "So true" not in text
+    # both passes inside: an open block between link lists goes, one beside text or at the edge stays
+    links = "<ul><li><a>one of many</a><li><a>two of many</a></ul>"
+    assert html.main_text(f"<article><h1>Head</h1><p>{long}{links}<p>See more:{links}<p>{long}<p>End.</article><div>Made by us.</div>") == f"Head\n\n{long}\n\n{long}\n\nEnd."
+
+
 def test_quality_classifier(spark, none):
     rng = random.Random(1)
     good = lambda: " ".join(rng.choice(["stone", "river", "and", "the", "walked", "over", "green", "hill"]) for _ in range(60)) + "."
