@@ -179,7 +179,7 @@ def confidence_set(x: np.ndarray, seed: int, alpha: float = 0.1, n_boot: int = 1
     return {"p": [p[k] for k in range(m)], "included": [p[k] >= alpha for k in range(m)], "order": [*order, alive[0]], "steps": steps, "mean": mean, "length": length}
 
 
-def model_confidence_sets(long: DataFrame, seed: int, alpha: float = 0.1, n_boot: int = 1000, length: int | None = None, statistic: str = "range", horizon: int = 1) -> DataFrame:
+def model_confidence_sets(long: DataFrame, seed: int, alpha: float = 0.1, n_boot: int = 10_000, length: int | None = None, statistic: str = "range", horizon: int = 1) -> DataFrame:
     """A confidence set for each asset: one Arrow group of origins x models; origins missing any model are dropped for all."""
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -204,7 +204,7 @@ def block_lengths(long: DataFrame) -> DataFrame:
     return long.groupBy("asset").applyInPandas(one, "asset string, model_a string, model_b string, block_length double")
 
 
-def comparison(long: DataFrame, seed: int, n_boot: int = 1000) -> DataFrame:
+def comparison(long: DataFrame, seed: int, n_boot: int = 10_000) -> DataFrame:
     """Confidence set joined with how many others each model beats in pairwise tests at 5 per cent, by mean loss."""
     beats = diebold_mariano(long).groupBy("asset", F.col("model_a").alias("model")).agg(F.count_if((F.col("statistic") < 0) & (F.col("p_value") < 0.05)).alias("n_beaten"))
     return model_confidence_sets(long, seed, n_boot=n_boot).join(beats, ["asset", "model"], "left").orderBy("asset", "mean_loss", "model")

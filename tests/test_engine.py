@@ -293,3 +293,11 @@ def test_streaming_bars(spark, tmp_path):
     q.awaitTermination(60)
     got = spark.table("bars_live").orderBy("ts").collect()
     assert [(r["open"], r["close"], r["n"]) for r in got] == [(0.0, 4.0, 3), (6.0, 6.0, 1), (30.0, 30.0, 1)]
+
+
+def test_confidence_sets_draw_ten_thousand_resamples():
+    from inspect import signature
+
+    from oriel.operators import inference
+
+    assert {signature(f).parameters["n_boot"].default for f in (inference.confidence_set, inference.model_confidence_sets, inference.comparison)} == {10_000}
