@@ -25,7 +25,9 @@ from .plans import backtest, grid, identity
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 SPLIT = positions.Splitter(window=100, horizon=2, step=1, refit_every=21)
-BLOCK_SPLIT = positions.Splitter(window=250, horizon=1, step=5, refit_every=21)
+BLOCK_SPLIT = positions.Splitter(window=250, horizon=1, step=1, refit_every=21)
+#: That of the SQL of block_naive_equals_native.
+SQL_SPLIT = positions.Splitter(window=250, horizon=1, step=5, refit_every=21)
 MODELS = ["ewma", "naive"]
 REGIMES = regimes.checked((regimes.Regime("alpha", date(1993, 3, 1), date(1993, 9, 30)), regimes.Regime("beta", date(1995, 1, 15), date(1995, 6, 15)), regimes.Regime("gamma", date(1997, 11, 1), date(1998, 2, 28))))
 COMPACT = 50
@@ -79,8 +81,8 @@ def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return backtest.native_scores(series(spark, sf_dir), SPLIT, "ret", "proxy")
 
 
-def block_rows(spark: SparkSession, sf_dir: str, *models, on: str = "proxy") -> DataFrame:
-    return backtest.block_scores(series(spark, sf_dir), models, BLOCK_SPLIT, "ret", on, variance="rv")
+def block_rows(spark: SparkSession, sf_dir: str, *models, on: str = "proxy", split: positions.Splitter = BLOCK_SPLIT) -> DataFrame:
+    return backtest.block_scores(series(spark, sf_dir), models, split, "ret", on, variance="rv")
 
 
 # bars and targets -----------------------------------------------------------
@@ -488,7 +490,7 @@ _block("model_zero_shot", block.ZeroShot())
 @query
 def block_naive_equals_native(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The block runner on a model that also is a window expression."""
-    rows = block_rows(spark, sf_dir, block.Naive(), block.Ewma())
+    rows = block_rows(spark, sf_dir, block.Naive(), block.Ewma(), split=SQL_SPLIT)
     return rounded(rows.select("asset", "model", "origin_index", "fit_origin", "conditioned_through", "forecast_var", "crps", "hit_0p05", "missing_reason"))
 
 

@@ -301,3 +301,21 @@ def test_confidence_sets_draw_ten_thousand_resamples():
     from oriel.operators import inference
 
     assert {signature(f).parameters["n_boot"].default for f in (inference.confidence_set, inference.model_confidence_sets, inference.comparison)} == {10_000}
+
+
+def test_block_models_forecast_every_origin(monkeypatch):
+    from oriel import queries
+
+    seen = []
+
+    def stop(rows, models, split, *a, **b):
+        seen.append(split)
+        raise InterruptedError
+
+    monkeypatch.setattr(queries, "series", lambda *a: None)
+    monkeypatch.setattr(queries.backtest, "block_scores", stop)
+    names = ["model_garch", "model_garch_t", "model_gjr", "model_har", "model_autoets", "model_autoarima", "model_gbm", "model_zero_shot"]
+    for name in names:
+        with pytest.raises(InterruptedError):
+            queries.QUERIES[name](None, "")
+    assert [x.step for x in seen] == [1] * len(names)
