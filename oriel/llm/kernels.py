@@ -15,6 +15,8 @@ WHITE = np.zeros(256, bool)
 WHITE[[0x20, *range(0x09, 0x0E)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
+#: Bytes of words hashed at once.
+PIECE = 1 << 16
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -55,10 +57,18 @@ class Words:
         if not len(size):
             self.hash = np.zeros(0, _U)
             return
-        at = np.cumsum(size) - size
-        place = np.arange(len(solid)) - np.repeat(at, size)
         f = factors(int(size.max()) + 1)
-        self.hash = mixed(np.add.reduceat((solid.astype(_U) + _U(1)) * f[place], at) + size.astype(_U))
+        self.hash = np.empty(len(size), _U)
+        ends = np.cumsum(size)
+        lo = 0
+        while lo < len(size):  # in pieces that stay in the cache
+            base = int(ends[lo] - size[lo])
+            hi = max(lo + 1, int(np.searchsorted(ends, base + PIECE, "right")))
+            at = ends[lo:hi] - size[lo:hi] - base
+            some = solid[base : int(ends[hi - 1])]
+            place = np.arange(len(some)) - np.repeat(at, size[lo:hi])
+            self.hash[lo:hi] = mixed(np.add.reduceat((some.astype(_U) + _U(1)) * f[place], at) + size[lo:hi].astype(_U))
+            lo = hi
 
     def grams(self, n: int, seed: int = 1):
         """Hashes of all n-word runs within a text, and the word where each begins.
@@ -112,8 +122,3 @@ def powers(base: int, n: int) -> np.ndarray:
             step = step * step % 2**64
         _POWERS[base] = have
     return have[:n]
-
-
-def per_text(values: np.ndarray, owner: np.ndarray, n: int):
-    """Splits ``values`` (grouped by ascending ``owner``) into n arrays."""
-    return np.split(values, np.searchsorted(owner, np.arange(1, n)))
