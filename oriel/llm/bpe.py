@@ -1,18 +1,22 @@
 """Byte-level BPE by a pair occurrence index.
 
 ``PairIndex`` merges all of a partition's unseen pretokens together.  The index
-is columnar: one entry (rank of the pair, position) for every mergeable pair of
-neighbours, so that a rank stands for the list of all its positions.  In waves,
-every pretoken gets its lowest active rank applied at all positions of that rank
-within it, left to right, and only the entries beside a merge are renewed.  A
-merge creates only pairs of later ranks (a token exists only once its own merge
-has run), so each pretoken sees its ranks in ascending order.
+maps every mergeable pair, named by its rank, to the list of all positions where
+it stands, and a heap holds the active ranks.  The least rank is taken off the
+heap and merged at all its positions; each merge unlinks one position and enters
+the two pairs it makes into their lists.  Work is in proportion to merges, never
+to ranks times positions.  A rank that a merge makes active is a later one, since
+a token exists only once its own merge has run (checked when rules are read), so
+every pretoken sees its ranks in ascending order.
 """
 
 from __future__ import annotations
 
 import json
+from array import array
+from contextlib import contextmanager
 from hashlib import sha256
+from heapq import heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -23,8 +27,8 @@ from .base import chunks, text_or_empty, utf8_list
 
 #: The pretoken pattern of byte-level BPE.
 PRETOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Most entries of each generation of encoded words in a Python worker.
-CACHED = 500_000
+#: Bytes of encoded words that each of four dictionaries of a Python worker keeps, and of unseen pretokens merged together.
+CACHED, TOGETHER = 16 << 20, 1 << 20
 
 
 def byte_letters() -> dict[str, int]:
@@ -34,9 +38,6 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(0x100 + i): b for i, b in enumerate(rest)}
 
 
-_NEVER = np.int32(2**31 - 1)
-
-
 class PairIndex:
     """Merge rules, and the merging of a list of byte strings by their occurrence index."""
 
@@ -46,65 +47,80 @@ class PairIndex:
         self.byte_id = np.zeros(256, np.int32)
         for c, b in letters.items():
             self.byte_id[b] = vocab[c]
-        keys, made = [], []
+        self.parts: list[tuple[int, int]] = []
+        self.made: list[int] = []
         for pair in merges:
             a, b = pair.split(" ") if isinstance(pair, str) else pair
-            keys.append(vocab[a] << 32 | vocab[b])
-            made.append(vocab[a + b])
-        order = np.argsort(np.array(keys, np.int64), kind="stable")
-        self.keys, self.rank_of_key = np.array(keys, np.int64)[order], order.astype(np.int32)
-        self.made = np.array(made, np.int32)
-
-    def ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-        key = left.astype(np.int64) << 32 | right
-        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1) if len(self.keys) else np.zeros(len(key), np.int64)
-        return np.where(self.keys[at] == key, self.rank_of_key[at], _NEVER) if len(self.keys) else np.full(len(key), _NEVER)
+            self.parts.append((vocab[a], vocab[b]))
+            self.made.append(vocab[a + b])
+        made_by = {t: r for r, t in enumerate(self.made)}
+        if any(made_by.get(t, -1) >= r for r, ab in enumerate(self.parts) for t in ab):
+            raise ValueError("a merge must come after those that make its parts")
+        self.rank_of = {a << 32 | b: r for r, (a, b) in enumerate(self.parts)}
+        keys, ranks = np.array(list(self.rank_of), np.int64), np.array(list(self.rank_of.values()), np.int64)
+        order = np.argsort(keys)
+        self.keys, self.rank_of_key = keys[order], ranks[order]
+
+    def _first(self, ids: np.ndarray, inner: np.ndarray) -> dict[int, list[int]]:
+        """The index before any merge: rank of a pair -> positions of its left part, ascending."""
+        if not len(self.keys) or not len(inner):
+            return {}
+        key = ids[inner].astype(np.int64) << 32 | ids[inner + 1]
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        known = self.keys[at] == key
+        rank, place = self.rank_of_key[at[known]], inner[known]
+        order = np.argsort(rank, kind="stable")
+        rank, place = rank[order], place[order]
+        cut = np.flatnonzero(np.diff(rank)) + 1
+        heads = rank[np.concatenate(([0], cut))].tolist() if len(rank) else []
+        return dict(zip(heads, (x.tolist() for x in np.split(place, cut)), strict=False))
 
     def encode(self, data: bytes, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the byte strings that lie end to end in ``data``, and each one's number of ids."""
-        ids = self.byte_id[np.frombuffer(data, np.uint8)]
-        word = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
-        rank = np.full(len(ids), _NEVER)
-        inner = np.flatnonzero(word[:-1] == word[1:])
-        rank[inner] = self.ranks(ids[inner], ids[inner + 1])
-        done_ids, done_word = [], []
-        while len(ids):
-            first = np.flatnonzero(np.diff(word, prepend=-1))
-            size = np.diff(first, append=len(word))
-            low = np.repeat(np.minimum.reduceat(rank, first), size)
-            over = low == _NEVER
-            if over.any():
-                done_ids.append(ids[over])
-                done_word.append(word[over])
-                on = ~over
-                ids, word, rank, low = ids[on], word[on], rank[on], low[on]
-                if not len(ids):
-                    break
-            at = np.flatnonzero(rank == low)
-            if len(at) > 1 and (chain := np.diff(at) == 1).any():  # x x x: every other one, from the left
-                fresh = np.concatenate(([True], ~chain))
-                head = np.maximum.accumulate(np.where(fresh, np.arange(len(at)), 0))
-                at = at[(np.arange(len(at)) - head) % 2 == 0]
-            ids[at] = self.made[rank[at]]
-            keep = np.ones(len(ids), bool)
-            keep[at + 1] = False
-            ids, word, rank = ids[keep], word[keep], rank[keep]
-            at = at - np.arange(len(at))
-            renew = np.zeros(len(ids), bool)
-            renew[at] = renew[at[at > 0] - 1] = True
-            at = np.flatnonzero(renew)
-            if at[-1] == len(ids) - 1:
-                rank[-1] = _NEVER
-                at = at[:-1]
-            same = word[at] == word[at + 1]
-            rank[at[~same]] = _NEVER
-            at = at[same]
-            rank[at] = self.ranks(ids[at], ids[at + 1])
-        if not done_ids:
-            return np.zeros(0, np.uint32), np.zeros(len(sizes), np.int64)
-        word, ids = np.concatenate(done_word), np.concatenate(done_ids)
-        order = np.argsort(word, kind="stable")
-        return ids[order].astype("<u4"), np.bincount(word, minlength=len(sizes))
+        first = self.byte_id[np.frombuffer(data, np.uint8)]
+        word = np.repeat(np.arange(len(sizes)), sizes)
+        linked = word[:-1] == word[1:]
+        index = self._first(first, np.flatnonzero(linked))
+        # links between neighbours of one string; -1 at its ends, id -1 for positions merged away
+        here = np.arange(len(first))
+        after = array("q", np.where(np.append(linked, False), here + 1, -1).tobytes()) if len(first) else array("q")
+        before = array("q", np.where(np.insert(linked, 0, False), here - 1, -1).tobytes()) if len(first) else array("q")
+        ids = array("q", first.astype(np.int64).tobytes())
+        active = sorted(index)
+        rank_of, parts, made_of = self.rank_of, self.parts, self.made
+        while active:
+            rank = heappop(active)
+            left, right = parts[rank]
+            made = made_of[rank]
+            places = index.pop(rank)
+            places.sort()  # x x x merges from the left
+            for at in places:
+                gone = after[at]
+                if gone < 0 or ids[at] != left or ids[gone] != right:
+                    continue  # another merge took a part of it
+                ids[at], ids[gone] = made, -1
+                far, near = after[gone], before[at]
+                after[at] = far
+                if far >= 0:
+                    before[far] = at
+                    new = rank_of.get(made << 32 | ids[far])
+                    if new is not None:
+                        if new in index:
+                            index[new].append(at)
+                        else:
+                            index[new] = [at]
+                            heappush(active, new)
+                if near >= 0:
+                    new = rank_of.get(ids[near] << 32 | made)
+                    if new is not None:
+                        if new in index:
+                            index[new].append(near)
+                        else:
+                            index[new] = [near]
+                            heappush(active, new)
+        out = np.frombuffer(ids, np.int64) if len(ids) else np.zeros(0, np.int64)
+        stay = out >= 0
+        return out[stay].astype("<u4"), np.bincount(word[stay], minlength=len(sizes))
 
 
 class Encoder:
@@ -128,16 +144,30 @@ class Encoder:
         self._two_spaces = regex.compile(r"\s\s").search
         self._split = regex.compile("(" + "|".join(map(regex.escape, sorted(self.named, key=len, reverse=True))) + ")").split if self.named else None
         # encoded words as they stand, and after one space: the young and the old generation of each
-        self.plain: tuple[dict[str, bytes], dict[str, bytes]] = ({}, {})
-        self.spaced: tuple[dict[str, bytes], dict[str, bytes]] = ({}, {})
-
-    def _ready(self, cache: tuple[dict, dict], words: set[str], before: str) -> tuple[dict, dict]:
+        self.plain: tuple[dict[str, bytes], dict[str, bytes]]
+        self.spaced: tuple[dict[str, bytes], dict[str, bytes]]
+        self.forget()
+
+    def forget(self) -> None:
+        """Drops the encoded words: what a task gathered goes with it."""
+        self.plain, self.spaced, self.kept = ({}, {}), ({}, {}), [0, 0]
+
+    def _merged(self, raw: list[bytes]) -> tuple[bytes, np.ndarray]:
+        """Ids of pretokens and each one's number, some ``TOGETHER`` bytes at a time."""
+        flat, counts = [], []
+        for lo, hi in chunks(raw, TOGETHER, len(raw) or 1):
+            ids, count = self.pairs.encode(b"".join(raw[lo:hi]), np.fromiter(map(len, raw[lo:hi]), np.int64, hi - lo))
+            flat.append(ids.tobytes())
+            counts.append(count)
+        return b"".join(flat), np.concatenate(counts) if counts else np.zeros(0, np.int64)
+
+    def _ready(self, which: int, words: set[str], before: str) -> tuple[dict, dict]:
         """Makes all of ``words`` young: kept, promoted from the old generation, or encoded now."""
-        young, old = cache
+        young, old = (self.plain, self.spaced)[which]
         missing = words.difference(young)
-        if len(young) + len(missing) > CACHED:
+        if self.kept[which] > CACHED:
             young, old = {}, young
-            missing = words
+            missing, self.kept[which] = words, 0
         new = []
         for w in missing:
             known = old.get(w)
@@ -158,13 +188,13 @@ class Encoder:
                 owner = np.concatenate((owner, np.repeat(np.arange(len(easy), len(new)), [len(x) for x in more])))
                 pieces += [p for x in more for p in x]
                 easy += rest
-            raw = [p.encode() for p in pieces]
-            ids, count = self.pairs.encode(b"".join(raw), np.fromiter(map(len, raw), np.int64, len(raw)))
-            flat, end = ids.tobytes(), (4 * np.cumsum(np.bincount(owner, count, len(new)).astype(np.int64))).tolist()
+            flat, count = self._merged([p.encode() for p in pieces])
+            end = (4 * np.cumsum(np.bincount(owner, count, len(new)).astype(np.int64))).tolist()
             lo = 0
             for w, hi in zip(easy, end, strict=True):
                 young[w] = flat[lo:hi]
                 lo = hi
+        self.kept[which] += sum(200 + len(w) for w in missing)
         return young, old
 
     def encode(self, texts: list[str]) -> list[bytes]:
@@ -193,8 +223,8 @@ class Encoder:
                         lines.append((head, words))
                     job.append(lines)
             jobs.append(job)
-        self.plain = self._ready(self.plain, plain, "")
-        self.spaced = self._ready(self.spaced, spaced, " ")
+        self.plain = self._ready(0, plain, "")
+        self.spaced = self._ready(1, spaced, " ")
         one, two = self.plain[0], self.spaced[0]
         feed = one["\n"]
         out = []
@@ -218,48 +248,54 @@ class Encoder:
         return b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8", "replace")
 
 
-_ENCODERS: dict[str | None, Encoder] = {}
+_ENCODERS: dict[tuple[str | None, bool], Encoder] = {}
 
 
-def encoder(path: str | None = None) -> Encoder:
-    """One encoder for each file and Python worker."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
+@contextmanager
+def encoder(path: str | None = None, specials: bool = True):
+    """The one encoder of a file in this Python worker; its words are forgotten when the task ends."""
+    if (path, specials) not in _ENCODERS:
+        _ENCODERS[path, specials] = Encoder(path, specials)
+    own = _ENCODERS[path, specials]
+    try:
+        yield own
+    finally:
+        own.forget()
 
 
-def encoded_batches(batches, path: str | None, most: int = 1 << 22):
-    """(batch, index of text, ids) for the last column of each Arrow batch, in order."""
-    enc = encoder(path)
-    for batch in batches:
-        texts = utf8_list(batch.column(batch.num_columns - 1))
-        for lo, hi in chunks(texts, most):
-            for i, ids in enumerate(enc.encode([t.decode("utf-8", "replace") for t in texts[lo:hi]])):
-                yield batch, lo + i, ids
+def encoded(enc: Encoder, texts: pa.Array, most: int = 1 << 21):
+    """(index, ids) of each text of an Arrow column, in order; null is empty."""
+    raw = utf8_list(texts)
+    for lo, hi in chunks(raw, most):
+        for i, ids in enumerate(enc.encode([t.decode("utf-8", "replace") for t in raw[lo:hi]])):
+            yield lo + i, ids
 
 
 def encode_decode(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str | None = None) -> DataFrame:
     """Encodes every whole text and decodes the ids again.
 
     Returns one row per input row: key, ids (binary, little-endian unsigned
-    32-bit), n_tokens and decoded.  Null texts are empty; an empty text has no
-    ids and decodes to the empty text; repeated rows and null keys stay.
+    32-bit), n_tokens and decoded; other columns are left out, whatever their
+    names.  Null texts are empty; an empty text has no ids and decodes to the
+    empty text; repeated rows and null keys stay.  A text of any length is
+    encoded whole.  An empty table gives no rows.
     """
     kind = docs.schema[key].dataType.simpleString()
 
     def run(batches):
-        for batch in batches:
-            enc, keys, ids, back = encoder(path), [], [], []
-            size = 0
-            for _, i, x in encoded_batches([batch], path):
-                keys.append(i)
-                ids.append(x)
-                back.append(enc.decode(np.frombuffer(x, "<u4").tolist()))
-                size += 2 * len(x)
-                if size > 16 << 20:
-                    yield result(batch, keys, ids, back)
-                    keys, ids, back, size = [], [], [], 0
-            yield result(batch, keys, ids, back)
+        with encoder(path) as enc:
+            for batch in batches:
+                keys, ids, back = [], [], []
+                size = 0
+                for i, x in encoded(enc, batch.column(1)):
+                    keys.append(i)
+                    ids.append(x)
+                    back.append(enc.decode(np.frombuffer(x, "<u4").tolist()))
+                    size += 2 * len(x)
+                    if size > 16 << 20:
+                        yield result(batch, keys, ids, back)
+                        keys, ids, back, size = [], [], [], 0
+                yield result(batch, keys, ids, back)
 
     def result(batch, at, ids, back):
         n = pa.array([len(x) // 4 for x in ids], pa.int64())
@@ -270,19 +306,24 @@ def encode_decode(docs: DataFrame, key: str = "doc_id", text: str = "text", path
 
 
 def digests(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str | None = None) -> DataFrame:
-    """Token counts and digests of ``encode_decode``, made in the same worker so that ids and texts never leave it."""
+    """key, n_tokens, ids_sha256 and decoded_sha256 of what ``encode_decode`` gives.
+
+    Made in the same worker, so that ids and texts never leave it.  Null texts
+    are empty, repeated rows and null keys keep a row each, other columns are
+    left out; an empty table gives no rows.
+    """
     kind = docs.schema[key].dataType.simpleString()
 
     def run(batches):
-        enc = encoder(path)
-        for batch in batches:
-            n, one, two = [], [], []
-            for _, _, x in encoded_batches([batch], path):
-                ids = np.frombuffer(x, "<u4").tolist()
-                n.append(len(ids))
-                one.append(sha256(",".join(map(enc.decimal.__getitem__, ids)).encode()).hexdigest())
-                two.append(sha256(enc.decode(ids).encode("utf-8")).hexdigest())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(one, pa.string()), pa.array(two, pa.string())], ["k", "n_tokens", "ids_sha256", "decoded_sha256"])
+        with encoder(path) as enc:
+            for batch in batches:
+                n, one, two = [], [], []
+                for _, x in encoded(enc, batch.column(1)):
+                    ids = np.frombuffer(x, "<u4").tolist()
+                    n.append(len(ids))
+                    one.append(sha256(",".join(map(enc.decimal.__getitem__, ids)).encode()).hexdigest())
+                    two.append(sha256(enc.decode(ids).encode("utf-8")).hexdigest())
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(one, pa.string()), pa.array(two, pa.string())], ["k", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     out = docs.select(F.col(key).alias("k"), text_or_empty(text).alias("t")).mapInArrow(run, f"k {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
     return out.withColumnRenamed("k", key)
