@@ -16,12 +16,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .base import chunks, text_or_empty, utf8_list
+from .base import Positions, chunks, text_or_empty, utf8_list
 from .kernels import Words, factors
 
 BYTES, SHAPES, EXTRA = 1024, 512, 48
 TERMS = BYTES + SHAPES + EXTRA
+#: Most texts, and bytes of texts, whose term vectors and cosines are in memory together.
+TOGETHER, TOGETHER_BYTES = 256, 1 << 19
 
 
 @dataclass(frozen=True)
@@ -52,7 +55,6 @@ def term_counts(texts: list[bytes]) -> np.ndarray:
     out = np.zeros((len(texts), TERMS), np.float32)
     joined = np.frombuffer(b"  ".join(texts) + b"   ", np.uint8)
     size = np.fromiter(map(len, texts), np.int64, len(texts)) + 2
-    at = np.cumsum(size) - size
     owner = np.repeat(np.arange(len(texts)), size)
     f = factors(8, 7)
     shift = np.uint64(40)
@@ -60,7 +62,6 @@ def term_counts(texts: list[bytes]) -> np.ndarray:
         h = (data[:-2] * f[0] + data[1:-1] * f[1] + data[2:] * f[2]) >> shift
         cell = owner[: len(h)] * places + (h % np.uint64(places)).astype(np.int64)[: len(owner)]
         out[:, offset : offset + places] = np.bincount(cell, minlength=len(texts) * places)[: len(texts) * places].reshape(len(texts), places)
-    del at
     w = Words(texts)
     n = np.maximum(w.count, 1)
 
@@ -129,7 +130,7 @@ def train(counts: np.ndarray, labels: np.ndarray, fit: Fit) -> Model:
 def _vectors(batches):
     for b in batches:
         texts = utf8_list(b.column(1))
-        for lo, hi in chunks(texts):
+        for lo, hi in chunks(texts, TOGETHER_BYTES, TOGETHER):
             x = term_counts(texts[lo:hi])
             yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), pa.array([r.astype("<f4").tobytes() for r in x], pa.binary())], ["y", "v"])
 
@@ -156,30 +157,37 @@ def scored(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text
     """All columns of ``docs`` and quality_score (double, 0 to 1): one row per input row.
 
     Null texts count as empty; empty texts have a length term like all others
-    and are scored by it.  The score reads nothing but the text.
+    and are scored by it.  The score reads nothing but the whole text, so equal
+    texts, repeated rows among them, score alike; null keys are scored too.  A
+    column of docs named quality_score is replaced.  An empty table gives no rows.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    fields = docs.select("*").schema
+    own = Positions(docs)
+    at, n = own.plain.index(own.of(text)), len(own.plain)
+    # a text column is passed once; one of another type also as the text it reads as
+    rows = own.rows if own.fields[at].dataType == T.StringType() else own.rows.withColumn("t", F.col(own.plain[at]).cast("string"))
+    read = at if len(rows.columns) == n else n
 
     def run(batches):
-        own = shared.value
+        model = shared.value
         for b in batches:
-            texts = utf8_list(b.column(b.num_columns - 1))
+            texts = utf8_list(b.column(read))
             out = np.zeros(len(texts))
-            for lo, hi in chunks(texts):
-                out[lo:hi] = own.score(term_counts(texts[lo:hi]))
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(out, pa.float64())], [*b.schema.names[:-1], "quality_score"])
+            for lo, hi in chunks(texts, TOGETHER_BYTES, TOGETHER):
+                out[lo:hi] = model.score(term_counts(texts[lo:hi]))
+            yield pa.RecordBatch.from_arrays([*b.columns[:n], pa.array(out, pa.float64())], [*b.schema.names[:n], "quality_score"])
 
-    from pyspark.sql import types as T
-
-    plain = [f"c{i}" for i in range(len(fields))]
-    named = docs.select(*[F.col(f"`{f.name}`").alias(c) for f, c in zip(fields, plain, strict=True)], text_or_empty(f"`{text}`").alias("__t"))
-    schema = T.StructType([T.StructField(c, f.dataType) for f, c in zip(fields, plain, strict=True)] + [T.StructField("quality_score", T.DoubleType())])
-    return named.mapInArrow(run, schema).select(*[F.col(c).alias(f.name) for f, c in zip(fields, plain, strict=True)], "quality_score")
+    schema = T.StructType([T.StructField(c, f.dataType) for c, f in zip(own.plain, own.fields, strict=True)] + [T.StructField("quality_score", T.DoubleType())])
+    return own.back(rows.mapInArrow(run, schema), "quality_score")
 
 
 def quality(docs: DataFrame, labels: DataFrame, fit: Fit = Fit(), key: str = "doc_id") -> DataFrame:
-    """key, held_out, score, predicted for every row; fitted on the rows that are not held out."""
+    """key, held_out, score, predicted for every row; fitted on the rows that are not held out.
+
+    Rows with a null key are scored and are not held out; null texts count as
+    empty; repeated rows keep a row each; without any usable label every score
+    is 0.5; other columns are left out; an empty table gives no rows.
+    """
     out = scored(docs.select(key, "text"), fitted(docs, labels, fit, key), key)
     held = F.coalesce(F.crc32(F.col(key).cast("string")) % 5 == 0, F.lit(False))
     return out.select(key, held.alias("held_out"), F.col("quality_score").alias("score"), F.when(F.col("quality_score") >= fit.threshold, 1).otherwise(0).cast("int").alias("predicted"))
