@@ -20,11 +20,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .base import text_or_empty, written
-from .bpe import encoded_batches
+from .bpe import encoded, encoder
 
 
 @dataclass(frozen=True)
 class Capacity:
+    """What a sequence holds.  Every piece has a token and a sum of squares is at most the square of the sum, so with
+    these defaults tokens bind first, as a contract of the fewest sequences needs; smaller ones bind as they say."""
+
     tokens: int = 1024
     documents: int = 1024
     cost: int = 1024 * 1024
@@ -95,21 +98,23 @@ def pieces(docs: DataFrame, capacity: Capacity, key: str = "doc_id", text: str =
 
         part = TaskContext.get().partitionId()
         seen = np.zeros(size + 1, np.int64).tolist()
-        for batch in batches:
-            at, rows = [], []
-            for _, i, ids in encoded_batches([batch], path):
-                ids += end
-                n = len(ids) // 4
-                first = n % size or size
-                cut = [0, *range(first, n + 1, size)]
-                for p in range(len(cut) - 1):
-                    lo, hi = cut[p], cut[p + 1]
-                    at.append(i)
-                    rows.append((p, lo, hi - lo, zlib.crc32(ids[4 * lo : 4 * hi]), part, seen[hi - lo]))
-                    seen[hi - lo] += 1
-            columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64()), strict=True)] if rows else []
-            if rows:
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), *columns], names)
+        kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64())
+        with encoder(path) as enc:
+            for batch in batches:
+                at, rows = [], []
+                for i, ids in encoded(enc, batch.column(1)):
+                    ids += end
+                    n = len(ids) // 4
+                    first = n % size or size
+                    cut = [0, *range(first, n + 1, size)]
+                    for p in range(len(cut) - 1):
+                        lo, hi = cut[p], cut[p + 1]
+                        at.append(i)
+                        rows.append((p, lo, hi - lo, zlib.crc32(ids[4 * lo : 4 * hi]), part, seen[hi - lo]))
+                        seen[hi - lo] += 1
+                if rows:
+                    columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)]
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), *columns], names)
 
     return docs.select(F.col(key).alias("k"), text_or_empty(text).alias("t")).mapInArrow(run, f"k {kind}, piece int, start long, length long, ids_crc32 long, part int, nth long")
 
@@ -118,8 +123,11 @@ def packed(docs: DataFrame, capacity: Capacity = Capacity(), key: str = "doc_id"
     """One row per piece: key, piece, start, length, ids_crc32, sequence_id, offset.
 
     Null texts are empty; an empty text is one piece, its end id.  Repeated rows
-    are packed each.  Only documents longer than a sequence are cut: a first
-    piece of what is over, then whole sequences.  Empty input gives no rows.
+    and rows with a null key are packed each.  Only documents longer than a
+    sequence are cut: a first piece of what is over, then whole sequences; a
+    text of any length is encoded whole.  Ties between equal bins go to the
+    first.  Columns other than key and text are left out, whatever their names.
+    An empty table gives no rows.
     """
     spark = docs.sparkSession
     rows = written(pieces(docs, capacity, key, text, path), "pieces")
@@ -128,7 +136,8 @@ def packed(docs: DataFrame, capacity: Capacity = Capacity(), key: str = "doc_id"
     slots, _ = plan(counts, capacity)
     shared = spark.sparkContext.broadcast(slots)
     before = by_part.select("part", "length", (F.sum("n").over(Window.partitionBy("length").orderBy("part")) - F.col("n")).alias("before"))
-    ranked = rows.join(written(before, "piece-offsets"), ["part", "length"]).withColumn("rank", F.col("before") + F.col("nth"))
+    # as many offsets as tasks times lengths: they grow with the corpus, so this is a merge join at every size
+    ranked = rows.join(written(before, "piece-offsets").hint("merge"), ["part", "length"]).withColumn("rank", F.col("before") + F.col("nth"))
 
     def place(batches):
         own = shared.value
