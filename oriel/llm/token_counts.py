@@ -14,15 +14,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .base import text_or_empty, written
-from .bpe import Encoder, chunks, utf8_list
+from .bpe import encoded, encoder
 
 #: Ids in a block, blocks in a segment of the prefix scan.
 BLOCK, SEGMENT = 1 << 16, 1 << 10
 
-_WRITERS: dict = {}
-
 
 def token_files(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str | None = None, end_id: int = 50256, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
     """Encodes documents into one token file for each input partition.
@@ -30,44 +29,44 @@ def token_files(docs: DataFrame, key: str = "doc_id", text: str = "text", path:
     Returns the blocks (file, block, tokens) and the manifest (file, ordinal,
     key) that an indexed format would have; the scan reads the blocks only.
     Special tokens in texts are ordinary text here, so only ends are end ids.
+    A vocabulary of more than 65,536 ids does not fit the format and is an error.
     """
-    kind = dict(docs.dtypes)[key]
+    kind = docs.schema[key].dataType
     names = ["file", "block", "tokens", "first", "keys"]
 
     def run(batches):
         from pyspark import TaskContext
 
-        file = TaskContext.get().partitionId()
-        if path not in _WRITERS:
-            _WRITERS[path] = Encoder(path, specials=False)
-        enc, held, n, done, ordinal = _WRITERS[path], [], 0, 0, 0
+        file, held, n, done, ordinal, of = TaskContext.get().partitionId(), [], 0, 0, 0, None
 
-        def row(k, tokens, first, keys, of):
+        def row(k, tokens, first, keys):
             return pa.RecordBatch.from_arrays([pa.array([file], pa.int64()), pa.array([k], pa.int64()), pa.array([tokens], pa.binary()), pa.array([first], pa.int64()), pa.array([keys], pa.list_(of))], names)
 
-        of = None
-        for batch in batches:
-            of = batch.schema.field(0).type
-            texts = utf8_list(batch.column(1))
-            yield row(None, None, ordinal, batch.column(0).to_pylist(), of)
-            ordinal += len(texts)
-            for lo, hi in chunks(texts, 1 << 22):
-                for ids in enc.encode([t.decode("utf-8", "replace") for t in texts[lo:hi]]):
+        with encoder(path, specials=False) as enc:
+            if not end_id < 1 << 16 or max(enc.bytes_of) >= 1 << 16:
+                raise ValueError("a token file holds 16-bit ids; the vocabulary has larger ones")
+            for batch in batches:
+                of = batch.schema.field(0).type
+                yield row(None, None, ordinal, batch.column(0).to_pylist())
+                ordinal += batch.num_rows
+                for _, ids in encoded(enc, batch.column(1)):
                     held.append(np.append(np.frombuffer(ids, "<u4"), end_id).astype("<u2"))
                     n += len(held[-1])
-                if n >= block:
-                    flat = np.concatenate(held)
-                    for at in range(0, n - n % block, block):
-                        yield row(done, flat[at : at + block].tobytes(), None, None, of)
-                        done += 1
-                    held = [flat[n - n % block :]]
-                    n %= block
-        if n:
-            yield row(done, np.concatenate(held).tobytes(), None, None, of)
-
-    rows = docs.select(F.col(key).alias("k"), text_or_empty(text).alias("t")).mapInArrow(run, f"file long, block long, tokens binary, first long, keys array<{kind}>")
-    rows = written(rows, "token-files")
-    manifest = rows.where("keys is not null").select("file", "first", F.posexplode("keys").alias("i", key)).select("file", (F.col("first") + F.col("i")).alias("ordinal"), key)
+                    if n >= 8 * block or n >= 1 << 20:
+                        flat = np.concatenate(held)
+                        for at in range(0, n - n % block, block):
+                            yield row(done, flat[at : at + block].tobytes(), None, None)
+                            done += 1
+                        held = [flat[n - n % block :]]
+                        n %= block
+        flat = np.concatenate(held) if held else np.zeros(0, "<u2")
+        for at in range(0, n, block):
+            yield row(done, flat[at : at + block].tobytes(), None, None)
+            done += 1
+
+    schema = T.StructType([T.StructField("file", T.LongType()), T.StructField("block", T.LongType()), T.StructField("tokens", T.BinaryType()), T.StructField("first", T.LongType()), T.StructField("keys", T.ArrayType(kind))])
+    rows = written(docs.select(F.col(key).alias("k"), text_or_empty(text).alias("t")).mapInArrow(run, schema), "token-files")
+    manifest = rows.where("keys is not null").select("file", "first", F.posexplode("keys").alias("i", "key")).select("file", (F.col("first") + F.col("i")).alias("ordinal"), "key")
     return rows.where("tokens is not null").select("file", "block", "tokens"), manifest
 
 
@@ -115,7 +114,9 @@ def document_lengths(blocks: DataFrame, end_id: int = 50256) -> DataFrame:
 def counted(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str | None = None, block: int = BLOCK) -> DataFrame:
     """key and n_tokens of every document, by scanning the token files made of them.
 
-    Null and empty texts count 0 tokens; repeated rows and null keys keep a row each.
+    Null and empty texts count 0 tokens; repeated rows and null keys keep a row
+    each; a text of any length is encoded whole and may fill many blocks.  Other
+    columns are left out, whatever their names.  An empty table gives no rows.
     """
     blocks, manifest = token_files(docs, key, text, path, block=block)
-    return manifest.join(document_lengths(blocks), ["file", "ordinal"]).select(key, "n_tokens")
+    return manifest.join(document_lengths(blocks), ["file", "ordinal"]).select(F.col("key").alias(key), "n_tokens")
