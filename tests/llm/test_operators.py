@@ -107,15 +107,44 @@ def brute_components(rows, shingle, percent):
     return out
 
 
-@pytest.mark.parametrize("shingle,percent,block", [(4, 85, 2048), (5, 80, 16)])
-def test_ngram_join(docs, none, rows, shingle, percent, block, monkeypatch):
-    monkeypatch.setattr(ngram_join, "LIST", block)  # small blocks: the paths of long lists
+@pytest.mark.parametrize("shingle,percent,block,heavy,name", [(4, 85, 2048, 1 << 16, 64), (5, 80, 2, 1, 3)])
+def test_ngram_join(docs, none, rows, shingle, percent, block, heavy, name, monkeypatch):
+    """Also with blocks of two members, with every list salted, and with names of three bits for all sets."""
+    monkeypatch.setattr(ngram_join, "LIST", block)
+    monkeypatch.setattr(ngram_join, "HEAVY", heavy)
+    monkeypatch.setattr(ngram_join, "NAME", name)
     got = ngram_join.linked(docs, shingle=shingle, percent=percent)
     same([tuple(r) for r in got.collect()], brute_components(rows, shingle, percent))
     if block == 2048:
         assert ngram_join.linked(none).count() == 0
 
 
+def test_ngram_join_of_a_list_of_thousands_of_blocks(spark, monkeypatch):
+    """A group of near copies and a rarest shingle that all texts share: far more blocks than one task's."""
+    monkeypatch.setattr(ngram_join, "LIST", 2)
+    rng = random.Random(5)
+    base = [f"b{k}" for k in range(60)]
+    texts = []
+    for k in range(3000):
+        w = list(base)
+        w[rng.randrange(60)] = f"x{k}"
+        texts.append(" ".join(w) if k % 3 else f"{k} {k + 1} same five words stand here {k + 2} {k + 3}")
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    got = {r["doc_id"]: r["component_id"] for r in ngram_join.linked(df, shingle=3, percent=60).collect()}
+    assert got == {k: 1 if k % 3 else k for k in range(3000)}
+
+
+def test_suffix_filter_never_parts_a_pair_that_links():
+    rng = np.random.default_rng(3)
+    for n in (3, 40, 900, 20_000):
+        x = rng.integers(0, 2**63, n).astype(np.uint64) * np.uint64(2)
+        y = np.concatenate((x[: n - n // 10], rng.integers(0, 2**63, n // 10).astype(np.uint64)))
+        s = object.__new__(ngram_join.Sets)
+        s.hash, s.doc, s.n = np.concatenate((x, y)), np.repeat([0, 1], n), np.array([n, n])
+        a, b = s.profiles().astype(int)
+        assert abs(a - b).sum() <= len(set(x.tolist()) ^ set(y.tolist()))
+
+
 def test_components_of_a_long_path(spark):
     edges = [(k, k + 1) for k in range(60)] + [(100, 101), (101, 102), (5, 5)]
     got = {r["node"]: r["root"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
