@@ -1,9 +1,9 @@
 """Rule ledger: every rule is evaluated once per document, its failure kept as a bit beside the measurements.
 
-``ledger`` writes bits and measurements; ``verdict`` applies a versioned policy
-(a mask of bits) without touching the texts again; ``ablation`` counts, by
-bitwise aggregation over the ledger alone, what each rule removes.  DataFrame
-functions only.
+``stored`` writes bits and measurements once; ``verdict`` applies a versioned
+policy (a mask of bits) to the stored ledger without touching the texts again;
+``ablation`` counts, by bitwise aggregation over the ledger alone, what each rule
+removes.  DataFrame functions only.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .base import SPACE, text_or_empty
+from .base import SPACE, text_or_empty, written
 
 #: Bit, name and meaning of each rule; a bit once given keeps its meaning.
 RULES = {
@@ -20,8 +20,8 @@ RULES = {
     "symbols": 1 << 2,  # more than one symbol for each 5 words
     "dup_lines": 1 << 3,  # more than half of the lines with a word repeat an earlier one
     "word_length": 1 << 4,  # mean word length outside 2 to 15 code points
-    "shouting": 1 << 5,  # more than a quarter of the words end in two exclamation marks
-    "cells": 1 << 6,  # more than a fifth of the words are bare separators
+    "exclaimed": 1 << 5,  # more than one exclamation mark for each 5 words
+    "letterless": 1 << 6,  # more than a fifth of the words have no letter
 }
 #: Policies by version: the rules that reject.
 POLICIES = {1: ("few_words", "repeats"), 2: tuple(RULES)}
@@ -56,22 +56,25 @@ def ledger(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
     """One row per document: key, the measurements and ``failures``, the bit mask of failed rules.
 
     Null texts count as empty: no words, all counts 0, rule ``few_words`` fails.
-    Repeated rows and null keys keep a row each; other columns are left out.
+    Whole texts of any length are measured.  Repeated rows and null keys keep a
+    row each; other columns are left out, whatever their names; an empty table
+    gives no rows.  3-word windows are compared by a 64-bit hash within a text.
     """
-    t = F.col("__t")
-    out = docs.select(F.col(key), text_or_empty(text).alias("__t"))
-    out = out.select(key, "__t", F.filter(F.split(t, SPACE), lambda w: w != "").alias("__w"), F.filter(F.split(t, "\n"), lambda x: F.trim(F.translate(x, "\t\x0b\x0c\r", "    ")) != "").alias("__l"))
-    w, lines = F.col("__w"), F.col("__l")
+    t = F.col("t")
+    out = docs.select(F.col(key).alias("k"), text_or_empty(text).alias("t"))
+    out = out.select("k", "t", F.filter(F.split(t, SPACE), lambda w: w != "").alias("w"), F.filter(F.split(t, "\n"), lambda x: F.trim(F.translate(x, "\t\x0b\x0c\r", "    ")) != "").alias("l"))
+    w, lines = F.col("w"), F.col("l")
+    without = lambda signs: F.length(t) - F.length(F.translate(t, signs, ""))
     out = out.select(
-        key,
+        F.col("k").alias(key),
         F.size(w).cast("long").alias("n_words"),
         F.length(F.translate(t, " \t\n\x0b\x0c\r", "")).cast("long").alias("word_chars"),
-        (F.length(t) - F.length(F.translate(t, "#*$%&|<>", ""))).cast("long").alias("n_symbols"),
+        without("#*$%&|<>").cast("long").alias("n_symbols"),
         F.size(lines).cast("long").alias("n_lines"),
         (F.size(lines) - F.size(F.array_distinct(lines))).cast("long").alias("n_dup_lines"),
         _repeat_words(w).alias("n_repeat_words"),
-        F.size(F.filter(w, lambda x: F.endswith(x, F.lit("!!")))).cast("long").alias("n_shouted"),
-        F.size(F.filter(w, lambda x: x == "|")).cast("long").alias("n_cells"),
+        without("!").cast("long").alias("n_exclaimed"),
+        F.regexp_count(F.concat(F.lit(" "), t), F.lit("[\\x20\\x09-\\x0D][^\\p{L}\\x20\\x09-\\x0D]++(?=[\\x20\\x09-\\x0D]|\\z)")).cast("long").alias("n_letterless"),
     )
     n = F.col("n_words")
     fails = {
@@ -80,8 +83,8 @@ def ledger(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
         "symbols": 5 * F.col("n_symbols") > n,
         "dup_lines": 2 * F.col("n_dup_lines") > F.col("n_lines"),
         "word_length": (n > 0) & ((F.col("word_chars") < 2 * n) | (F.col("word_chars") > 15 * n)),
-        "shouting": 4 * F.col("n_shouted") > n,
-        "cells": 5 * F.col("n_cells") > n,
+        "exclaimed": 5 * F.col("n_exclaimed") > n,
+        "letterless": 5 * F.col("n_letterless") > n,
     }
     bits = F.lit(0)
     for rule, failed in fails.items():
@@ -89,6 +92,11 @@ def ledger(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
     return out.withColumn("failures", bits.cast("long"))
 
 
+def stored(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The ledger as a written table: texts are read and measured once, whatever is asked of it later."""
+    return written(ledger(docs, key, text), "rule-ledger")
+
+
 def verdict(rows: DataFrame, version: int = 2) -> DataFrame:
     """Adds base_failed (policy 1) and kept (false if base_failed, else the policy of ``version``) to a ledger."""
     failed = F.col("failures").bitwiseAND(F.lit(mask_of(1))) != 0
@@ -98,7 +106,8 @@ def verdict(rows: DataFrame, version: int = 2) -> DataFrame:
 def ablation(rows: DataFrame, version: int = 2) -> DataFrame:
     """For each rule of a policy: documents failing it, and those only it removes (kept once the rule is left out).
 
-    One aggregation by distinct bit mask, at most 2**rules groups, then rules against masks.
+    One aggregation by distinct bit mask, at most 2**rules groups, then rules
+    against masks.  A row a rule also for an empty ledger.
     """
     mask = mask_of(version)
     masks = rows.groupBy(F.col("failures").bitwiseAND(F.lit(mask)).alias("m")).agg(F.count("*").alias("n"))
