@@ -26,8 +26,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .base import SPACE, Bloom, bloom_of, text_or_empty, written
+from .base import SPACE, Bloom, Positions, bloom_of, discard, text_or_empty, utf8_list, written
 
 _NONE = -(2**63)
 #: Holders of a window that round 2 tries. Decides only how much is left to round 3, which tries all.
@@ -133,24 +134,27 @@ def _postings(arrays: DataFrame, min_words: int) -> DataFrame:
     return arrays.select("i", "tk", "h", "w").mapInArrow(run, "i long, tk long, x array<long>").select(F.struct("i", "tk").alias("d"), F.explode("x").alias("x"))
 
 
-def _holders(arrays: DataFrame, asked: Bloom, lines: Bloom, min_words: int) -> DataFrame:
+def _holders(arrays: DataFrame, asked: Bloom | None, lines: Bloom | None, min_words: int) -> DataFrame:
     """(x, c, e): documents with windows in ``asked``; ``c`` is the same where they are the same but for lines outside ``lines``.
 
     What the filters let through by mistake only parts documents that need not be apart.
     """
 
+    shared = arrays.sparkSession.sparkContext.broadcast((asked, lines))
+
     def run(batches):
+        asked, lines = shared.value
         for b in batches:
             h = b.column(2)
             flat, ends = h.flatten().to_numpy(zero_copy_only=False), np.cumsum(h.value_lengths().to_numpy(zero_copy_only=False))
-            known = lines.has(flat.view(np.uint64))
+            known = lines.has(flat.view(np.uint64)) if lines else np.ones(len(flat), bool)
             before = np.concatenate([[0], np.cumsum(known)])[np.concatenate([[0], ends])]
             i, tk, c, x = [], [], [], []
             for k in np.flatnonzero(np.diff(before)):
                 lo, hi = int(ends[k - 1]) if k else 0, int(ends[k])
                 own = flat[lo:hi]
                 found = np.array(list({y for y, _, _ in windows(own.tolist(), b.column(3)[int(k)].as_py(), min_words)}), np.int64)
-                found = found[asked.has(found.view(np.uint64))]
+                found = found[asked.has(found.view(np.uint64))] if asked else found
                 if not len(found):
                     continue
                 # runs of unknown lines become one mark
@@ -188,7 +192,8 @@ def _aligned(pairs: DataFrame, arrays: DataFrame, min_words: int) -> DataFrame:
 
 
 def _gone(aligned: DataFrame) -> DataFrame:
-    return aligned.where("size(gone) > 0").groupBy("i", "tk").agg(F.array_distinct(F.flatten(F.collect_list("gone"))).alias("gone"))
+    """(i, tk, gone): every line that some alignment deletes, once; no more than the document has."""
+    return aligned.select("i", "tk", F.explode("gone").alias("g")).groupBy("i", "tk").agg(F.collect_set("g").alias("gone"))
 
 
 def _left(aligned: DataFrame, gone: DataFrame) -> DataFrame:
@@ -198,20 +203,8 @@ def _left(aligned: DataFrame, gone: DataFrame) -> DataFrame:
     return written(rows.where(stays).select(F.struct("i", "tk").alias("d"), F.col("l.x").alias("x")).distinct(), "left-windows")
 
 
-def without_shared_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_words: int = 5) -> DataFrame:
-    """All columns of ``docs``, with n_lines, n_removed and kept_text added.
-
-    Lines are equal when their words are; lines without a word are never
-    compared and never deleted.  Earlier means a smaller identifier (null
-    first, then by the text's hash).  Null texts count as empty.  Repeated rows
-    (same identifier and text) are one document and stay as they are.
-    """
-    i, tk = F.coalesce(F.col(key).cast("long"), F.lit(_NONE)), F.xxhash64(text_or_empty(text))
-    t = docs.select(i.alias("i"), tk.alias("tk"), F.split(text_or_empty(text), "\n").alias("l"))
-    plain = F.transform("l", lambda x: F.trim(F.regexp_replace(x, SPACE, " ")))
-    lines = t.select("i", "tk", F.filter(plain, lambda x: x != "").alias("l")).where(F.size("l") > 0)
-    arrays = lines.select("i", "tk", F.transform("l", lambda x: F.xxhash64(x)).alias("h"), F.transform("l", lambda x: (F.length(x) - F.length(F.translate(x, " ", "")) + 1).cast("int")).alias("w"))
-    arrays = written(arrays.dropDuplicates(["i", "tk"]), "line-hashes")
+def _deletions(arrays: DataFrame, min_words: int) -> DataFrame:
+    """(i, tk, gone) by rounds of alignments."""
     postings = _postings(arrays, min_words)
     # windows in two documents or more, and the earliest holder of each
     shared = written(postings.groupBy("x").agg(F.min("d").alias("e"), F.max("d").alias("z")).where("e <> z").select("x", "e"), "shared-lines")
@@ -222,7 +215,7 @@ def without_shared_lines(docs: DataFrame, key: str = "doc_id", text: str = "text
         if left.isEmpty():
             break
         asked = left.select("d.i", "d.tk").distinct().join(arrays, ["i", "tk"]).select(F.explode("h").alias("h"))
-        holders = _holders(arrays, bloom_of(left.select("x"), "x"), bloom_of(asked, "h"), min_words)
+        holders = _holders(arrays, _filter(left.select("x"), "x"), _filter(asked, "h"), min_words)
         alike = F.col("c") if few is None else F.pmod(F.col("c"), F.lit(few))
         met = holders.groupBy("x", alike.alias("c")).agg(F.min("e").alias("e"))
         further = _aligned(left.join(met, "x").where("e < d").select("d", "e", "x"), arrays, min_words)
@@ -230,20 +223,62 @@ def without_shared_lines(docs: DataFrame, key: str = "doc_id", text: str = "text
         gone = written(_gone(aligned), "deleted-lines")
         if few is not None:
             left = _left(further, gone)
-    named = {c: f"`{c}`" for c in docs.columns}
+    discard(shared)
+    return gone
+
+
+def _filter(keys: DataFrame, column: str) -> Bloom | None:
+    """None where the filter would be too large to broadcast: then every key counts as known."""
+    return bloom_of(written(keys.distinct(), "line-keys"), column)
+
+
+def without_shared_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_words: int = 5) -> DataFrame:
+    """All columns of ``docs``, with n_lines, n_removed and kept_text added.
+
+    Lines are equal when their words are (compared by a 64-bit hash, within two
+    documents that share a window of lines); lines without a word are never
+    compared and never deleted.  Earlier means a smaller identifier (null
+    first, then by the text's hash).  Null texts count as empty.  Repeated rows
+    (same identifier and text) are one document and stay as they are.  Whole
+    texts of any length are aligned.  Columns of docs named like an added one
+    are replaced.  An empty table gives no rows.
+    """
+    own = Positions(docs)
+    k, t = own.of(key), own.of(text)
+    i, tk = F.coalesce(F.col(k).cast("long"), F.lit(_NONE)), F.xxhash64(text_or_empty(t))
+    plain = F.transform(F.split(text_or_empty(t), "\n"), lambda x: F.trim(F.regexp_replace(x, SPACE, " ")))
+    lines = own.rows.select(i.alias("i"), tk.alias("tk"), F.filter(plain, lambda x: x != "").alias("l")).where(F.size("l") > 0)
+    arrays = lines.select("i", "tk", F.transform("l", lambda x: F.xxhash64(x)).alias("h"), F.transform("l", lambda x: (F.length(x) - F.length(F.translate(x, " ", "")) + 1).cast("int")).alias("w"))
+    arrays = written(arrays.dropDuplicates(["i", "tk"]), "line-hashes")
+    gone = _deletions(arrays, min_words)
+
+    names, n, at = own.plain, len(own.plain), own.plain.index(t)
+    as_text = own.fields[at].dataType == T.StringType()  # else its text travels too
+    rows = own.rows.withColumns({"i": i, "tk": tk} | ({} if as_text else {"t": text_or_empty(t)}))
     # always by merge: the deletions grow with the documents, so the plan is the same at every size
-    keyed = gone.select(F.col("i").alias("__i"), F.col("tk").alias("__tk"), F.col("gone").alias("__gone")).hint("merge")
-    out = docs.withColumns({"__i": i, "__tk": tk}).join(keyed, ["__i", "__tk"], "left")
-    numbered = F.split(text_or_empty(text), "\n")
-    # the number of a line among those with words, -1 for others
-    with_words = F.transform(numbered, lambda x: (F.trim(F.regexp_replace(x, SPACE, " ")) != "").cast("int"))
-    out = out.withColumn("__l", F.when(F.col("__gone").isNotNull(), numbered)).withColumn("__s", F.when(F.col("__gone").isNotNull(), with_words))
-    step = F.aggregate("__s", F.struct(F.lit(0).alias("n"), F.array().cast("array<int>").alias("at")), lambda acc, x: F.struct((acc["n"] + x).alias("n"), F.concat(acc["at"], F.array(F.when(x == 1, acc["n"]).otherwise(-1))).alias("at")))["at"]
-    out = out.withColumn("__at", step)
-    kept = F.array_join(F.transform(F.filter(F.arrays_zip("__l", "__at"), lambda x: ~F.array_contains("__gone", x["__at"])), lambda x: x["__l"]), "\n")
-    return out.select(
-        *named.values(),
-        F.size(F.filter(numbered, lambda x: F.trim(F.regexp_replace(x, SPACE, " ")) != "")).cast("long").alias("n_lines"),
-        F.coalesce(F.size("__gone"), F.lit(0)).cast("long").alias("n_removed"),
-        F.when(F.col("__gone").isNull(), text_or_empty(text)).otherwise(kept).alias("kept_text"),
-    )
+    rows = rows.join(gone.hint("merge"), ["i", "tk"], "left").select(*own.plain, "gone", *[] if as_text else ["t"])
+
+    def apply(batches):
+        for b in batches:
+            total, removed, kept = [], [], []
+            for raw, away in zip(utf8_list(b.column(at if as_text else n + 1)), b.column(n).to_pylist(), strict=True):
+                split = raw.split(b"\n")
+                worded = [bool(x.strip(_WHITE)) for x in split]
+                total.append(sum(worded))
+                removed.append(len(away or ()))
+                if away:
+                    off, number, stay = set(away), -1, []
+                    for line, has in zip(split, worded, strict=True):
+                        number += has
+                        if not (has and number in off):
+                            stay.append(line)
+                    raw = b"\n".join(stay)
+                kept.append(raw)
+            yield pa.RecordBatch.from_arrays([*b.columns[:n], pa.array(total, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.large_binary()).cast(pa.large_string()).cast(pa.string())], [*names, *_ADDED])
+
+    schema = T.StructType([T.StructField(c, f.dataType) for f, c in zip(own.fields, own.plain, strict=True)] + [T.StructField("n_lines", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_text", T.StringType())])
+    return own.back(rows.mapInArrow(apply, schema), *_ADDED)
+
+
+_ADDED = ("n_lines", "n_removed", "kept_text")
+_WHITE = b" \t\n\x0b\x0c\r"
