@@ -3,9 +3,10 @@
 ``PairIndex`` merges all of a partition's unseen pretokens together.  The index
 maps every mergeable pair, named by its rank, to the list of all positions where
 it stands, and a heap holds the active ranks.  The least rank is taken off the
-heap and merged at all its positions; each merge unlinks one position and enters
-the two pairs it makes into their lists.  Work is in proportion to merges, never
-to ranks times positions.  A rank that a merge makes active is a later one, since
+heap and merged at all its positions (by arrays while positions are many, then
+one by one); each merge unlinks one position and enters the two pairs it makes
+into their lists.  Work is in proportion to merges, never to ranks times
+positions.  A rank that a merge makes active is a later one, since
 a token exists only once its own merge has run (checked when rules are read), so
 every pretoken sees its ranks in ascending order.
 """
@@ -13,8 +14,6 @@ every pretoken sees its ranks in ascending order.
 from __future__ import annotations
 
 import json
-from array import array
-from contextlib import contextmanager
 from hashlib import sha256
 from heapq import heappop, heappush
 
@@ -27,8 +26,10 @@ from .base import chunks, text_or_empty, utf8_list
 
 #: The pretoken pattern of byte-level BPE.
 PRETOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Bytes of encoded words that each of four dictionaries of a Python worker keeps, and of unseen pretokens merged together.
-CACHED, TOGETHER = 16 << 20, 1 << 20
+#: About the most bytes of encoded words in each of four dictionaries, kept for a Python worker's next task; bytes of unseen pretokens merged together.
+CACHED, TOGETHER = 40 << 20, 1 << 20
+#: Pairs of fewer positions than this are merged at one after the other, others at all of them by arrays.
+MANY = 48
 
 
 def byte_letters() -> dict[str, int]:
@@ -65,35 +66,85 @@ class PairIndex:
         """The index before any merge: rank of a pair -> positions of its left part, ascending."""
         if not len(self.keys) or not len(inner):
             return {}
-        key = ids[inner].astype(np.int64) << 32 | ids[inner + 1]
-        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-        known = self.keys[at] == key
-        rank, place = self.rank_of_key[at[known]], inner[known]
+        rank = self._ranks(ids[inner], ids[inner + 1])
+        rank, place = rank[rank >= 0], inner[rank >= 0]
         order = np.argsort(rank, kind="stable")
         rank, place = rank[order], place[order]
         cut = np.flatnonzero(np.diff(rank)) + 1
         heads = rank[np.concatenate(([0], cut))].tolist() if len(rank) else []
         return dict(zip(heads, (x.tolist() for x in np.split(place, cut)), strict=False))
 
+    def _ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Ranks of pairs; -1 where there is no such rule."""
+        if not len(self.keys):
+            return np.full(len(left), -1)
+        key = left << 32 | right
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where(self.keys[at] == key, self.rank_of_key[at], -1)
+
     def encode(self, data: bytes, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the byte strings that lie end to end in ``data``, and each one's number of ids."""
-        first = self.byte_id[np.frombuffer(data, np.uint8)]
+        ids = self.byte_id[np.frombuffer(data, np.uint8)].astype(np.int64)
         word = np.repeat(np.arange(len(sizes)), sizes)
         linked = word[:-1] == word[1:]
-        index = self._first(first, np.flatnonzero(linked))
+        index = self._first(ids, np.flatnonzero(linked))
         # links between neighbours of one string; -1 at its ends, id -1 for positions merged away
-        here = np.arange(len(first))
-        after = array("q", np.where(np.append(linked, False), here + 1, -1).tobytes()) if len(first) else array("q")
-        before = array("q", np.where(np.insert(linked, 0, False), here - 1, -1).tobytes()) if len(first) else array("q")
-        ids = array("q", first.astype(np.int64).tobytes())
+        here = np.arange(len(ids))
+        after = np.where(np.append(linked, False), here + 1, -1)[: len(ids)]
+        before = np.where(np.insert(linked, 0, False), here - 1, -1)[: len(ids)]
         active = sorted(index)
-        rank_of, parts, made_of = self.rank_of, self.parts, self.made
+        self._merge_many(index, active, ids, after, before)
+        ids = self._merge_few(index, active, ids.tolist(), after.tolist(), before.tolist())
+        stay = ids >= 0
+        return ids[stay].astype("<u4"), np.bincount(word[stay], minlength=len(sizes))
+
+    def _merge_many(self, index: dict[int, list[int]], active: list[int], ids: np.ndarray, after: np.ndarray, before: np.ndarray) -> None:
+        """Takes ranks off the heap, each merged at all its positions by arrays, until eight in a row have few positions."""
+        few = 0
+        while active and few < 8:
+            rank = heappop(active)
+            left, right = self.parts[rank]
+            at = np.array(index.pop(rank))
+            few = few + 1 if len(at) < MANY else 0
+            at.sort()
+            if len(at) > 1:
+                at = at[np.append(True, at[1:] != at[:-1])]
+            gone = after[at]
+            good = (gone >= 0) & (ids[at] == left) & (ids[gone] == right)
+            at, gone = at[good], gone[good]
+            if left == right and len(at) > 1:  # x x x merges from the left: every other one of a chain
+                fresh = np.append(True, gone[:-1] != at[1:])
+                nth = np.arange(len(at))
+                odd = (nth - np.maximum.accumulate(np.where(fresh, nth, 0))) % 2 == 0
+                at, gone = at[odd], gone[odd]
+            ids[at], ids[gone] = self.made[rank], -1
+            far, near = after[gone], before[at]
+            after[at] = far
+            follows, leads = far >= 0, near >= 0
+            before[far[follows]] = at[follows]
+            both = np.concatenate((at[follows], near[leads]))
+            new = self._ranks(ids[both], ids[after[both]])
+            both, new = both[new >= 0], new[new >= 0]
+            order = np.argsort(new, kind="stable")
+            new, places = new[order], both[order].tolist()
+            cut = [*np.flatnonzero(np.diff(new, prepend=-1)).tolist(), len(places)]
+            for r, lo, hi in zip(new[cut[:-1]].tolist(), cut, cut[1:], strict=False):
+                if r in index:
+                    index[r] += places[lo:hi]
+                else:
+                    index[r] = places[lo:hi]
+                    heappush(active, r)
+
+    def _merge_few(self, index: dict[int, list[int]], active: list[int], ids: list[int], after: list[int], before: list[int]) -> np.ndarray:
+        """Takes the other ranks off the heap, each merged at one position after the other."""
+        rank_at, parts, made_of = self.rank_of.get, self.parts, self.made
         while active:
             rank = heappop(active)
             left, right = parts[rank]
             made = made_of[rank]
             places = index.pop(rank)
-            places.sort()  # x x x merges from the left
+            if len(places) > 1:
+                places.sort()  # x x x merges from the left
             for at in places:
                 gone = after[at]
                 if gone < 0 or ids[at] != left or ids[gone] != right:
@@ -103,7 +154,7 @@ class PairIndex:
                 after[at] = far
                 if far >= 0:
                     before[far] = at
-                    new = rank_of.get(made << 32 | ids[far])
+                    new = rank_at(made << 32 | ids[far])
                     if new is not None:
                         if new in index:
                             index[new].append(at)
@@ -111,16 +162,14 @@ class PairIndex:
                             index[new] = [at]
                             heappush(active, new)
                 if near >= 0:
-                    new = rank_of.get(ids[near] << 32 | made)
+                    new = rank_at(ids[near] << 32 | made)
                     if new is not None:
                         if new in index:
                             index[new].append(near)
                         else:
                             index[new] = [near]
                             heappush(active, new)
-        out = np.frombuffer(ids, np.int64) if len(ids) else np.zeros(0, np.int64)
-        stay = out >= 0
-        return out[stay].astype("<u4"), np.bincount(word[stay], minlength=len(sizes))
+        return np.array(ids, np.int64)
 
 
 class Encoder:
@@ -149,7 +198,7 @@ class Encoder:
         self.forget()
 
     def forget(self) -> None:
-        """Drops the encoded words: what a task gathered goes with it."""
+        """Drops the encoded words."""
         self.plain, self.spaced, self.kept = ({}, {}), ({}, {}), [0, 0]
 
     def _merged(self, raw: list[bytes]) -> tuple[bytes, np.ndarray]:
@@ -188,7 +237,13 @@ class Encoder:
                 owner = np.concatenate((owner, np.repeat(np.arange(len(easy), len(new)), [len(x) for x in more])))
                 pieces += [p for x in more for p in x]
                 easy += rest
-            flat, count = self._merged([p.encode() for p in pieces])
+            # a pretoken that several words share is merged once
+            number = {p: k for k, p in enumerate(dict.fromkeys(pieces))}
+            flat, size = self._merged([p.encode() for p in number])
+            which_of = np.fromiter(map(number.__getitem__, pieces), np.int64, len(pieces))
+            count = size[which_of]
+            begin = (np.cumsum(size) - size)[which_of] - (np.cumsum(count) - count)
+            flat = np.frombuffer(flat, "<u4")[np.repeat(begin, count) + np.arange(int(count.sum()))].tobytes()
             end = (4 * np.cumsum(np.bincount(owner, count, len(new)).astype(np.int64))).tolist()
             lo = 0
             for w, hi in zip(easy, end, strict=True):
@@ -251,16 +306,12 @@ class Encoder:
 _ENCODERS: dict[tuple[str | None, bool], Encoder] = {}
 
 
-@contextmanager
-def encoder(path: str | None = None, specials: bool = True):
-    """The one encoder of a file in this Python worker; its words are forgotten when the task ends."""
+def encoder(path: str | None = None, specials: bool = True) -> Encoder:
+    """The one encoder of this Python worker; a worker never keeps two."""
     if (path, specials) not in _ENCODERS:
+        _ENCODERS.clear()
         _ENCODERS[path, specials] = Encoder(path, specials)
-    own = _ENCODERS[path, specials]
-    try:
-        yield own
-    finally:
-        own.forget()
+    return _ENCODERS[path, specials]
 
 
 def encoded(enc: Encoder, texts: pa.Array, most: int = 1 << 21):
@@ -283,19 +334,19 @@ def encode_decode(docs: DataFrame, key: str = "doc_id", text: str = "text", path
     kind = docs.schema[key].dataType.simpleString()
 
     def run(batches):
-        with encoder(path) as enc:
-            for batch in batches:
-                keys, ids, back = [], [], []
-                size = 0
-                for i, x in encoded(enc, batch.column(1)):
-                    keys.append(i)
-                    ids.append(x)
-                    back.append(enc.decode(np.frombuffer(x, "<u4").tolist()))
-                    size += 2 * len(x)
-                    if size > 16 << 20:
-                        yield result(batch, keys, ids, back)
-                        keys, ids, back, size = [], [], [], 0
-                yield result(batch, keys, ids, back)
+        enc = encoder(path)
+        for batch in batches:
+            keys, ids, back = [], [], []
+            size = 0
+            for i, x in encoded(enc, batch.column(1)):
+                keys.append(i)
+                ids.append(x)
+                back.append(enc.decode(np.frombuffer(x, "<u4").tolist()))
+                size += 2 * len(x)
+                if size > 16 << 20:
+                    yield result(batch, keys, ids, back)
+                    keys, ids, back, size = [], [], [], 0
+            yield result(batch, keys, ids, back)
 
     def result(batch, at, ids, back):
         n = pa.array([len(x) // 4 for x in ids], pa.int64())
@@ -315,15 +366,15 @@ def digests(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str
     kind = docs.schema[key].dataType.simpleString()
 
     def run(batches):
-        with encoder(path) as enc:
-            for batch in batches:
-                n, one, two = [], [], []
-                for _, x in encoded(enc, batch.column(1)):
-                    ids = np.frombuffer(x, "<u4").tolist()
-                    n.append(len(ids))
-                    one.append(sha256(",".join(map(enc.decimal.__getitem__, ids)).encode()).hexdigest())
-                    two.append(sha256(enc.decode(ids).encode("utf-8")).hexdigest())
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(one, pa.string()), pa.array(two, pa.string())], ["k", "n_tokens", "ids_sha256", "decoded_sha256"])
+        enc = encoder(path)
+        for batch in batches:
+            n, one, two = [], [], []
+            for _, x in encoded(enc, batch.column(1)):
+                ids = np.frombuffer(x, "<u4").tolist()
+                n.append(len(ids))
+                one.append(sha256(",".join(map(enc.decimal.__getitem__, ids)).encode()).hexdigest())
+                two.append(sha256(enc.decode(ids).encode("utf-8")).hexdigest())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(one, pa.string()), pa.array(two, pa.string())], ["k", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     out = docs.select(F.col(key).alias("k"), text_or_empty(text).alias("t")).mapInArrow(run, f"k {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
     return out.withColumnRenamed("k", key)

@@ -99,22 +99,22 @@ def pieces(docs: DataFrame, capacity: Capacity, key: str = "doc_id", text: str =
         part = TaskContext.get().partitionId()
         seen = np.zeros(size + 1, np.int64).tolist()
         kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64())
-        with encoder(path) as enc:
-            for batch in batches:
-                at, rows = [], []
-                for i, ids in encoded(enc, batch.column(1)):
-                    ids += end
-                    n = len(ids) // 4
-                    first = n % size or size
-                    cut = [0, *range(first, n + 1, size)]
-                    for p in range(len(cut) - 1):
-                        lo, hi = cut[p], cut[p + 1]
-                        at.append(i)
-                        rows.append((p, lo, hi - lo, zlib.crc32(ids[4 * lo : 4 * hi]), part, seen[hi - lo]))
-                        seen[hi - lo] += 1
-                if rows:
-                    columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)]
-                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), *columns], names)
+        enc = encoder(path)
+        for batch in batches:
+            at, rows = [], []
+            for i, ids in encoded(enc, batch.column(1)):
+                ids += end
+                n = len(ids) // 4
+                first = n % size or size
+                cut = [0, *range(first, n + 1, size)]
+                for p in range(len(cut) - 1):
+                    lo, hi = cut[p], cut[p + 1]
+                    at.append(i)
+                    rows.append((p, lo, hi - lo, zlib.crc32(ids[4 * lo : 4 * hi]), part, seen[hi - lo]))
+                    seen[hi - lo] += 1
+            if rows:
+                columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), *columns], names)
 
     return docs.select(F.col(key).alias("k"), text_or_empty(text).alias("t")).mapInArrow(run, f"k {kind}, piece int, start long, length long, ids_crc32 long, part int, nth long")
 

@@ -42,23 +42,23 @@ def token_files(docs: DataFrame, key: str = "doc_id", text: str = "text", path:
         def row(k, tokens, first, keys):
             return pa.RecordBatch.from_arrays([pa.array([file], pa.int64()), pa.array([k], pa.int64()), pa.array([tokens], pa.binary()), pa.array([first], pa.int64()), pa.array([keys], pa.list_(of))], names)
 
-        with encoder(path, specials=False) as enc:
-            if not end_id < 1 << 16 or max(enc.bytes_of) >= 1 << 16:
-                raise ValueError("a token file holds 16-bit ids; the vocabulary has larger ones")
-            for batch in batches:
-                of = batch.schema.field(0).type
-                yield row(None, None, ordinal, batch.column(0).to_pylist())
-                ordinal += batch.num_rows
-                for _, ids in encoded(enc, batch.column(1)):
-                    held.append(np.append(np.frombuffer(ids, "<u4"), end_id).astype("<u2"))
-                    n += len(held[-1])
-                    if n >= 8 * block or n >= 1 << 20:
-                        flat = np.concatenate(held)
-                        for at in range(0, n - n % block, block):
-                            yield row(done, flat[at : at + block].tobytes(), None, None)
-                            done += 1
-                        held = [flat[n - n % block :]]
-                        n %= block
+        enc = encoder(path, specials=False)
+        if not end_id < 1 << 16 or max(enc.bytes_of) >= 1 << 16:
+            raise ValueError("a token file holds 16-bit ids; the vocabulary has larger ones")
+        for batch in batches:
+            of = batch.schema.field(0).type
+            yield row(None, None, ordinal, batch.column(0).to_pylist())
+            ordinal += batch.num_rows
+            for _, ids in encoded(enc, batch.column(1)):
+                held.append(np.append(np.frombuffer(ids, "<u4"), end_id).astype("<u2"))
+                n += len(held[-1])
+                if n >= 8 * block or n >= 1 << 20:
+                    flat = np.concatenate(held)
+                    for at in range(0, n - n % block, block):
+                        yield row(done, flat[at : at + block].tobytes(), None, None)
+                        done += 1
+                    held = [flat[n - n % block :]]
+                    n %= block
         flat = np.concatenate(held) if held else np.zeros(0, "<u2")
         for at in range(0, n, block):
             yield row(done, flat[at : at + block].tobytes(), None, None)
