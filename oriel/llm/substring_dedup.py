@@ -10,7 +10,7 @@
    thins out the next step: a window let through wrongly costs a comparison,
    none is held back.
 3. Verification.  Candidate windows are compared by 96 bits of a cryptographic
-   digest of their words, dealt into buckets of about one size by digest.  A
+   digest of their words, dealt into buckets of about one size by fingerprint.  A
    block of documents sends each of its windows to its bucket once; blocks form
    groups, buckets are settled group by group and then over groups, so what a
    bucket holds of one window is bounded whatever share of all documents has it.
@@ -142,7 +142,8 @@ def _requests(sieve, buckets: int, groups: int, window: int, gram: int):
                     known = b.column(3).slice(lo, hi - lo)
                     flat = known.flatten().to_numpy(zero_copy_only=False).view(np.uint64) if len(known) else np.zeros(0, np.uint64)
                     asked = np.isin(prints[change], flat)
-                at = start[np.repeat(asked, np.diff(change, append=len(prints)))]
+                use = np.repeat(asked, np.diff(change, append=len(prints)))
+                at, prints = start[use], prints[use]
                 if not len(at):
                     continue
                 one, two = _digests(w, texts[lo:hi], at, window)
@@ -159,7 +160,8 @@ def _requests(sieve, buckets: int, groups: int, window: int, gram: int):
                     for piece in np.split(here, np.flatnonzero(np.diff(doc[here])) + 1):
                         d = lo + int(doc[piece[0]])
                         out.append(((int(ids[d]) * 2654435761 + int(keys[d])) % buckets, int(ids[d]), int(keys[d]), place[piece].tobytes()))
-                bucket = (one[first] % np.uint64(buckets)).astype(np.int64)
+                # equal windows have one fingerprint, neighbours mostly too: few buckets for each document
+                bucket = (prints[first] % np.uint64(buckets)).astype(np.int64)
                 by = np.argsort(bucket, kind="stable")
                 first, bucket, seen = first[by], bucket[by], (count > 1)[by]
                 for lo2, hi2 in zip(cut := np.flatnonzero(np.diff(bucket, prepend=-1)), np.append(cut[1:], len(bucket)), strict=True):
