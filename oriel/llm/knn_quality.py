@@ -53,15 +53,17 @@ SHAPE = _shapes()
 def term_counts(texts: list[bytes]) -> np.ndarray:
     """Term vectors: hashed byte trigrams, trigrams of character classes, and how far words repeat."""
     out = np.zeros((len(texts), TERMS), np.float32)
-    joined = np.frombuffer(b"  ".join(texts) + b"   ", np.uint8)
+    joined = np.frombuffer(b"  ".join(texts) + b"    ", np.uint8)
     size = np.fromiter(map(len, texts), np.int64, len(texts)) + 2
     owner = np.repeat(np.arange(len(texts)), size)
+    # trigrams begin within a text, so none reaches into the next one
+    own = np.flatnonzero(np.arange(len(owner)) < np.repeat(np.cumsum(size) - 2, size))
     f = factors(8, 7)
     shift = np.uint64(40)
     for data, places, offset in ((joined.astype(np.uint64), BYTES, 0), (SHAPE[joined].astype(np.uint64), SHAPES, BYTES)):
-        h = (data[:-2] * f[0] + data[1:-1] * f[1] + data[2:] * f[2]) >> shift
-        cell = owner[: len(h)] * places + (h % np.uint64(places)).astype(np.int64)[: len(owner)]
-        out[:, offset : offset + places] = np.bincount(cell, minlength=len(texts) * places)[: len(texts) * places].reshape(len(texts), places)
+        h = (data[own] * f[0] + data[own + 1] * f[1] + data[own + 2] * f[2]) >> shift
+        cell = owner[own] * places + (h % np.uint64(places)).astype(np.int64)
+        out[:, offset : offset + places] = np.bincount(cell, minlength=len(texts) * places).reshape(len(texts), places)
     w = Words(texts)
     n = np.maximum(w.count, 1)
 
@@ -109,7 +111,7 @@ class Model:
         near = x @ self.vectors.T
         k = min(self.fit.neighbours, near.shape[1])
         cut = -np.partition(-near, k - 1, axis=1)[:, k - 1 : k]
-        vote = np.where(near >= cut, np.maximum(near, 0) ** 8 + 1e-12, 0)  # ties at the k-th place all vote
+        vote = np.where(near >= cut - 1e-6, np.maximum(near, 0) ** 8 + 1e-12, 0)  # ties at the k-th place all vote, rounding aside
         return np.clip(vote @ self.labels / vote.sum(axis=1), 0, 1)
 
 
