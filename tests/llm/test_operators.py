@@ -185,6 +185,97 @@ def test_html_outside_of_an_article():
     assert html.main_text(f"<article><h1>Head</h1><p>{long}{links}<p>See more:{links}<p>{long}<p>End.</article><div>Made by us.</div>") == f"Head\n\n{long}\n\n{long}\n\nEnd."
 
 
+LONG = "the story of a town and of the people in it who went on with the work that was to be done"
+
+
+@pytest.mark.parametrize("page,text", [
+    (f"<body><nav><a>Home</a><a>About</a><article><h1>Head</h1><p>{LONG}</article></body>", f"Head\n\n{LONG}"),  # a menu never closed
+    (f"<article><p>{LONG}<div class=ad>Buy now.<p>{LONG}</article>", f"{LONG}\n\n{LONG}"),  # an advert never closed
+    (f"<article><p class='search results'>{LONG}</p><div class='comments'><p>{LONG}</div></article>", LONG),
+    (f"<article><p>{LONG}<script>var x = 1;\n<p>{LONG}</article>", f"{LONG}\n\n{LONG}"),  # a script never closed
+    (f"<p>{LONG}</p><ul><li><a href=x>one</a><li><a href=y>two three</a></ul><p>Tail.</p>", LONG),  # the nearer neighbour is a list of links
+    (f"<h2>Head</h2><p>{LONG}</p><p>Short.</p><p>{LONG}</p>", f"Head\n\n{LONG}\n\nShort.\n\n{LONG}"),
+    (f"<div><a>{LONG}</a></div><p>a &lt;b&gt; &amp;c &#233; {LONG}</p>", f"a <b> &c é {LONG}"),
+    ("<article>" + f"<p>{LONG}</p>" * 3000 + "</article>", "\n\n".join([LONG] * 3000)),
+])
+def test_html_pages(page, text):
+    assert html.main_text(page) == text
+
+
+def brute_labels(blocks):
+    """The two passes by their rules, block by block and without running sums."""
+    first = []
+    framed = sum(len(b[0]) for b in blocks if b[2]) > sum(len(b[0]) for b in blocks if not b[2])
+    for text, linked, inside, heading in blocks:
+        w = text.split(" ")
+        share = len([x for x in w if x.strip(".,;:!?\"'()").lower() in html.STOP]) / len(w)
+        signs = (len(w) >= 20) + (share >= 0.1)
+        first.append(-1 if linked > (0.5 if inside else 0.33) * len(text) else 0 if heading or len(w) < 8 else int(signs >= (2 if framed and not inside else 1)))
+    out = []
+    for k, (label, (_, _, inside, heading)) in enumerate(zip(first, blocks, strict=True)):
+        back = [j for j in range(k - 1, -1, -1) if first[j]][:1]
+        ahead = [j for j in range(k + 1, len(blocks)) if first[j]][:1]
+        words_between = lambda i, j: sum(len(b[0].split(" ")) for b in blocks[i + 1 : j])
+        b, a = (first[back[0]] if back else 0), (first[ahead[0]] if ahead else 0)
+        if label:
+            out.append(label)
+            continue
+        if inside:
+            b, a = (b if back and blocks[back[0]][2] else 1), (a if ahead and blocks[ahead[0]][2] else 1)
+            out.append(a if heading else 1 if 1 in (a, b) else -1)
+            continue
+        b, a = (-1 if back and blocks[back[0]][2] else b), (-1 if ahead and blocks[ahead[0]][2] else a)
+        if heading and a:
+            out.append(a)
+        elif b and a and b != a:
+            x, y = words_between(back[0], k), words_between(k, ahead[0])
+            out.append(b if x < y else a if y < x else -1)
+        else:
+            out.append(b or a or 1)
+    return out
+
+
+def test_html_two_passes_equal_brute_force():
+    rng = random.Random(9)
+    for _ in range(300):
+        blocks = []
+        for _ in range(rng.randrange(1, 15)):
+            text = " ".join(rng.choice(["the", "stone", "of", "river", "x"]) for _ in range(rng.choice([1, 3, 7, 9, 25])))
+            blocks.append((text, rng.choice([0, 0, len(text)]), rng.random() < 0.5, rng.random() < 0.2))
+        assert html.second_pass(blocks, html.first_pass(blocks)) == brute_labels(blocks)
+
+
+def test_html_of_given_pages_needs_no_article_element(spark):
+    pages = [r["html"] for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("html").collect()]
+    with_tags = [html.main_text(x) for x in pages]
+    without = [html.main_text(re.sub(r"<(/?)article\b", r"<\1div", x)) for x in pages]
+    blocks = sum(len(x.split("\n\n")) for x in with_tags)
+    same_blocks = sum(len(set(x.split("\n\n")) & set(y.split("\n\n"))) for x, y in zip(with_tags, without, strict=True))
+    assert all(with_tags) and same_blocks >= 0.98 * sum(len(set(x.split("\n\n"))) for x in with_tags) and blocks > 2000
+
+
+def test_nearest_neighbours_vote_by_exact_cosine():
+    """The blocked votes against cosines taken one pair at a time."""
+    rng = random.Random(3)
+    texts = [" ".join(rng.choice(["aa", "bcd", "the", "of", "!!", "Zed", "42"]) for _ in range(rng.randrange(1, 40))).encode() for _ in range(90)]
+    fit = knn_quality.Fit(neighbours=5, dimensions=12)
+    labels = np.array([k % 2 for k in range(60)], np.float32)
+    model = knn_quality.train(knn_quality.term_counts(texts[:60]), labels, fit)
+    got = model.score(knn_quality.term_counts(texts))
+    unit = lambda v: v / math.sqrt(sum(float(x) ** 2 for x in v))
+    place = lambda t: unit((knn_quality.weighted(knn_quality.term_counts([t]))[0] * model.idf) @ model.projection)
+    known = [place(t) for t in texts[:60]]
+    for t, score in zip(texts, got, strict=True):
+        v = place(t)
+        cosines = [sum(float(a) * float(b) for a, b in zip(v, x, strict=True)) for x in known]
+        cut = sorted(cosines)[-5]
+        expected = []
+        for slack in (0, 1e-6, -1e-6):  # near ties for the last place may fall either way in 32 bits
+            votes = [(max(c, 0) ** 8 + 1e-12, y) for c, y in zip(cosines, labels, strict=True) if c >= cut - slack] or [(1, 0.5)]
+            expected.append(sum(w * y for w, y in votes) / sum(w for w, _ in votes))
+        assert min(abs(score - x) for x in expected) < 1e-4
+
+
 def test_quality_classifier(spark, none):
     rng = random.Random(1)
     good = lambda: " ".join(rng.choice(["stone", "river", "and", "the", "walked", "over", "green", "hill"]) for _ in range(60)) + "."
@@ -243,6 +334,44 @@ def test_bpe(docs, none, rows, tokens):
     assert bpe.digests(none).count() == 0
 
 
+def test_pair_index_equals_one_word_at_a_time(monkeypatch):
+    """Random rules against merging the least rank again and again, with and without arrays."""
+    rng = random.Random(8)
+    letters = bpe.byte_letters()
+    for many in (0, 10**9):
+        monkeypatch.setattr(bpe, "MANY", many)
+        for _ in range(30):
+            vocab, merges = {c: b for c, b in letters.items()}, []
+            tokens = ["a", "b", "c"]
+            for _ in range(12):
+                x, y = rng.choice(tokens), rng.choice(tokens)
+                if x + y not in vocab:
+                    vocab[x + y] = len(vocab)
+                    merges.append([x, y])
+                    tokens.append(x + y)
+            rank = {tuple(m): k for k, m in enumerate(merges)}
+            words = ["".join(rng.choice("abc") for _ in range(rng.randrange(1, 20))) for _ in range(50)] + ["a" * 33]
+            ids, count = bpe.PairIndex(vocab, merges).encode("".join(words).encode(), np.array(list(map(len, words))))
+            at = 0
+            for w, n in zip(words, count.tolist(), strict=True):
+                t = list(w)
+                while True:
+                    best = min((rank.get(p, 99) for p in zip(t, t[1:], strict=False)), default=99)
+                    if best == 99:
+                        break
+                    x, y = merges[best]
+                    k, out = 0, []
+                    while k < len(t):
+                        hit = t[k : k + 2] == [x, y]
+                        out.append(x + y if hit else t[k])
+                        k += 2 if hit else 1
+                    t = out
+                assert ids[at : at + n].tolist() == [vocab[x] for x in t]
+                at += n
+    with pytest.raises(ValueError):
+        bpe.PairIndex(letters | {"ab": 300, "abc": 301}, [["ab", "c"], ["a", "b"]])
+
+
 def test_bpe_with_a_tiny_cache(monkeypatch, tokens):
     monkeypatch.setattr(bpe, "CACHED", 3)
     e = bpe.Encoder()
@@ -270,6 +399,36 @@ def test_packing(docs, none, rows, tokens):
     assert packing.packed(none).count() == 0
 
 
+def test_packing_needs_no_more_than_the_fewest_sequences():
+    """Against an exhaustive search on small cases."""
+    rng = random.Random(6)
+
+    def fewest(sizes, cap):
+        best = len(sizes)
+
+        def place(k, bins):
+            nonlocal best
+            if len(bins) >= best:
+                return
+            if k == len(sizes):
+                best = len(bins)
+                return
+            for b in {x: j for j, x in enumerate(bins)}.values():
+                if bins[b] + sizes[k] <= cap:
+                    place(k + 1, [*bins[:b], bins[b] + sizes[k], *bins[b + 1 :]])
+            place(k + 1, [*bins, sizes[k]])
+
+        place(0, [])
+        return best
+
+    over = 0
+    for _ in range(60):
+        sizes = sorted((rng.randrange(1, 21) for _ in range(9)), reverse=True)
+        _, n = packing.plan(collections.Counter(sizes), packing.Capacity(tokens=20, documents=20, cost=400))
+        over += n - fewest(sizes, 20)
+    assert over <= 2  # best fit on descending sizes is nearly always optimal on such
+
+
 def test_packing_plan_keeps_every_constraint():
     rng = random.Random(2)
     counts = collections.Counter(rng.randrange(1, 101) for _ in range(500))
@@ -303,6 +462,31 @@ def test_exact_dedup(docs, none, rows):
     assert exact_dedup.exact_groups(none).count() == 0
 
 
+def test_exact_dedup_tells_colliding_texts_apart(docs, rows, monkeypatch):
+    """Digests of one byte: nearly all texts share one with others; the bytes decide."""
+    monkeypatch.setattr(exact_dedup, "digest_of", lambda sha: F.substring(F.unhex(sha), 1, 1))
+    expected = collections.Counter((r["doc_id"], r["text_sha256"]) for r in exact_dedup.exact_groups(docs).collect())
+    got = exact_dedup.exact_groups(docs, batches=3).collect()
+    size = collections.Counter(re.sub(r"[\x20\x09-\x0D]+", " ", t or "") for _, t in rows)
+    assert collections.Counter((r["doc_id"], r["text_sha256"]) for r in got) == expected
+    assert collections.Counter(r["group_size"] for r in got) == collections.Counter(n for n in size.values() for _ in range(n))
+    assert sum(r["kept"] for r in got) == len(size)
+
+
+def test_digest_index_levels(spark):
+    """Batches meet older levels through filters; compaction keeps the smallest identifiers."""
+    index = exact_dedup.DigestIndex(levels=2)
+    seen = {}
+    for k in range(4):
+        ids = [(bytes([x % 7 + 3 * k]), (False, 100 * k + x, x)) for x in range(5)]
+        hits = index.add(spark.createDataFrame(ids, "digest binary, keep struct<anonymous:boolean,id:long,row:long>"))
+        assert {bytes(r["digest"]) for r in hits.collect()} == {d for d, _ in ids if d in seen}
+        for d, (_, i, _) in ids:
+            seen.setdefault(d, []).append(i)
+        assert len(index.levels) <= 2
+    assert {bytes(r["digest"]): (r["keep"]["id"], r["n"]) for r in index.compact().collect()} == {d: (min(v), len(v)) for d, v in seen.items()}
+
+
 def test_exact_dedup_memtables(spark):
     rows = [(bytes([k % 3]), (False, k, k)) for k in range(30)]
     df = spark.createDataFrame(rows, "digest binary, keep struct<anonymous:boolean,id:long,row:long>").coalesce(1)
@@ -348,14 +532,18 @@ def brute_windows(rows, n=35):
     return out
 
 
-def test_substring_dedup(docs, none, rows):
-    clean = docs.drop("n_words")
-    got = substring_dedup.without_repeats(clean).collect()
+@pytest.mark.parametrize("group,bucket,most_bits", [(256, 1 << 17, 1 << 27), (1, 100, 1 << 27), (2, 1 << 17, 0)])
+def test_substring_dedup(docs, none, rows, group, bucket, most_bits, monkeypatch):
+    """Also with many groups and buckets, and beyond the size of a filter."""
+    monkeypatch.setattr(substring_dedup, "GROUP", group)
+    monkeypatch.setattr(substring_dedup, "BUCKET", bucket)
+    got = substring_dedup.without_repeats(docs, most_bits=most_bits).collect()
     same([(r["doc_id"], r["n_words"], r["n_removed"], r["kept_words"]) for r in got], brute_windows(rows))
     for r in got:
         assert words(r["kept_text"]) == words(r["kept_words"])
         assert r["n_removed"] or r["kept_text"] == (r["text"] or "")
-    assert substring_dedup.without_repeats(none.drop("n_words")).count() == 0
+    if group == 256:
+        assert substring_dedup.without_repeats(none).count() == 0
 
 
 def test_fingerprint_index_is_incremental(spark, rows):
@@ -448,5 +636,51 @@ def test_pipeline(spark, docs, tmp_path):
         out = stage(spark, d, str(tmp_path))
         assert out.columns == corpus_pipeline.COLUMNS, name
         assert stage(spark, d.where("false"), str(tmp_path)).count() == 0
-    packed = corpus_pipeline.run(spark, str(tmp_path))
-    assert packed.count() >= 0 and "sequence_id" in packed.columns
+    # each stage against brute force on its own input
+    scores = {(r["doc_id"], r["text"]): r["quality_score"] for r in knn_quality.scored(d, knn_quality.fitted(d, spark.read.parquet(f"{tmp_path}/labels.parquet"))).collect()}
+    good = corpus_pipeline.quality_classifier(spark, d, str(tmp_path))
+    same([(r["doc_id"], r["text"]) for r in good.collect()], [(r["doc_id"], r["text"]) for r in d.collect() if scores[r["doc_id"], r["text"]] >= 0.3])
+    rows_of = [(r["doc_id"], r["text"]) for r in d.collect()]
+    left = {(i, t): (n, kept) for (i, t), (_, _, n, kept) in zip(rows_of, brute_windows(rows_of), strict=True)}
+    out = corpus_pipeline.substring_deduplication(spark, d, str(tmp_path))
+    same([(r["doc_id"], tuple(words(r["text"]))) for r in out.collect()], [(i, tuple(kept.split())) for (i, t) in rows_of for n, kept in [left[i, t]] if not n or kept.strip()])
+    packed = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert packed and {r["doc_id"] for r in packed} <= {i for i, _ in rows_of}
+    assert all(sum(x["length"] for x in packed if x["sequence_id"] == q) <= 1024 for q in {r["sequence_id"] for r in packed})
+
+
+def test_clashing_names_and_filters(spark, docs, monkeypatch):
+    """Columns named like an operator's own, and key sets beyond a filter's size."""
+    from oriel.llm import base
+
+    clash = docs.select("doc_id", "text", F.lit("mine").alias("n_lines"), F.lit("mine").alias("N_Removed"), F.lit(1).alias("kept_text"), F.lit("x").alias("gone"), F.lit("y").alias("quality_score"), F.lit("z").alias("key"), F.lit("f").alias("file"))
+    out = line_dedup.without_shared_lines(clash)
+    assert sorted(out.columns) == sorted(["doc_id", "text", "gone", "quality_score", "key", "file", "n_lines", "n_removed", "kept_text"])
+    assert dict(out.dtypes)["n_removed"] == "bigint" and out.where("gone <> 'x' or n_removed < 0").count() == 0
+    model = knn_quality.train(np.zeros((0, knn_quality.TERMS), np.float32), np.zeros(0, np.float32), knn_quality.Fit())
+    assert knn_quality.scored(clash, model).where("quality_score = 0.5 and file = 'f'").count() == clash.count()
+    assert token_counts.counted(clash.withColumnRenamed("doc_id", "ordinal2").withColumnRenamed("ordinal2", "file2"), key="file").where("file = 'f'").count() == clash.count()
+    rows = spark.range(1000).select(F.xxhash64("id").alias("k"), "id")
+    keys = rows.where("id < 50").select(F.col("k").alias("x"))
+    assert base.bloom_of(keys, "x", 16) is None
+    kept = [base.thinned(rows, "k", keys, "x").where("id < 50").count()]
+    monkeypatch.setattr(base, "bloom_of", lambda *a: None)
+    kept.append(base.thinned(rows, "k", keys, "x").count())
+    assert kept == [50, 50]
+    filled = spark.range(300_000).select(F.xxhash64("id").alias("k"))
+    monkeypatch.undo()
+    sieve = base.bloom_of(filled, "k")
+    own = np.array([r["k"] for r in filled.limit(2000).collect()], np.int64).view(np.uint64)
+    others = np.array([r["k"] for r in spark.range(10**6, 10**6 + 2000).select(F.xxhash64("id").alias("k")).collect()], np.int64).view(np.uint64)
+    assert sieve.slices > 1 and sieve.has(own).all() and sieve.has(others).mean() < 0.05
+
+
+def test_shared_folder_is_never_a_local_one_on_a_cluster():
+    from types import SimpleNamespace
+
+    from oriel.llm import base
+
+    conf = SimpleNamespace(get=lambda *a: None)
+    cluster = SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master="local-cluster[3,2,3000]", getConf=lambda: conf))
+    with pytest.raises(RuntimeError):
+        base.shared_dir(cluster)
