@@ -1,79 +1,90 @@
-"""Identity of an experiment: a canonical text of its configuration, hashed; digests of its data."""
+"""Identity of an experiment: its configuration as one JSON text, hashed; digests of its data.
+
+JSON has no dates, sets, or floats apart from integers.  Values it lacks are
+objects with a single key that names their type, and mappings are such objects
+too, so no value can be mistaken for another.
+"""
 
 from __future__ import annotations
 
 import datetime as dt
 import hashlib
 import json
-import math
 import os
 import platform
-from collections.abc import Mapping, Sequence, Set
+from functools import singledispatch
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
-VERSION = "0.1.0"
-
-
-def number_text(x: float) -> str:
-    if math.isnan(x):
-        return "nan"
-    if math.isinf(x):
-        return "inf" if x > 0 else "-inf"
-    return "0" if x == 0 else format(x, ".17g")
-
-
-def canonical(value) -> str:
-    """Type-tagged text of a value: equal values have one text, values of other types another."""
-    match value:
-        case None:
-            return "null"
-        case bool() | np.bool_():
-            return "true" if value else "false"
-        case int() | np.integer():
-            return f"i:{int(value)}"
-        case float() | np.floating():
-            return f"f:{number_text(float(value))}"
-        case str():
-            return f"s:{json.dumps(value)}"
-        case dt.date():
-            return f"t:{value.isoformat()}"
-        case bytes() | bytearray() | os.PathLike():
-            raise TypeError(f"{type(value).__name__} has no place in a configuration")
-        case Mapping():
-            if any(not isinstance(k, str) for k in value):
-                raise TypeError("keys must be strings")
-            return "{" + ",".join(f"{canonical(k)}={canonical(value[k])}" for k in sorted(value)) + "}"
-        case np.ndarray():
-            return canonical(value.tolist())
-        case Set():
-            return "<" + ",".join(sorted(map(canonical, value))) + ">"
-        case Sequence():
-            return "[" + ",".join(map(canonical, value)) + "]"
-    raise TypeError(f"{type(value).__name__} has no canonical text")
-
-
-def config_hash(config: Mapping) -> str:
-    if not isinstance(config, Mapping):
-        raise TypeError("a configuration is a mapping")
-    return hashlib.sha256(canonical(config).encode()).hexdigest()
-
-
-def experiment(model, data: Mapping, splitter, seed: int, recondition: str = "daily", scoring: Mapping | None = None, policy: str = "none", environment: Mapping | None = None) -> dict:
-    """The configuration that names a cell.  Settings that cannot change its rows are left out."""
-    config = {
-        "model": {"name": model.name, "spec": dict(model.spec())},
+VERSION = "0.2.0"
+
+
+@singledispatch
+def plain(value):
+    """What JSON writes for a value."""
+    raise TypeError(f"a configuration cannot hold {type(value).__name__}")
+
+
+for _kind in (str, bool, type(None)):
+    plain.register(_kind, lambda value: value)
+for _kind in (int, np.integer):
+    plain.register(_kind, int)
+for _kind in (list, tuple):
+    plain.register(_kind, lambda value: [plain(x) for x in value])
+for _kind in (set, frozenset):
+    plain.register(_kind, lambda value: {"set": sorted(map(text_of, value))})
+plain.register(bool, lambda value: value)
+plain.register(np.bool_, bool)
+plain.register(np.ndarray, lambda value: plain(value.tolist()))
+plain.register(dt.date, lambda value: {"time": value.isoformat()})
+
+
+@plain.register(float)
+@plain.register(np.floating)
+def _(value):
+    return {"float": (float(value) + 0.0).hex()}  # exact; adding 0 makes -0 and 0 one
+
+
+@plain.register(dict)
+def _(value):
+    for k in value:
+        if type(k) is not str:
+            raise TypeError("names in a configuration are strings")
+    return {"map": {k: plain(x) for k, x in value.items()}}
+
+
+def text_of(value) -> str:
+    """One text for equal values of one type, different texts otherwise."""
+    return json.dumps(plain(value), sort_keys=True, separators=(",", ":"))
+
+
+def config_hash(config: dict) -> str:
+    if not isinstance(config, dict):
+        raise TypeError("a configuration is a dictionary")
+    return hashlib.sha256(text_of(config).encode()).hexdigest()
+
+
+def experiment(model, data: dict, splitter, seed: int, recondition: str = "daily", scoring: dict | None = None, policy: str = "none", environment: dict | None = None) -> dict:
+    """The configuration that names a cell.
+
+    The protocol between refits counts only if there are origins between refits,
+    the policy for invalid targets only if there is one.
+    """
+    refits = {"every": splitter.refit_every}
+    if splitter.refit_every > 1:
+        refits["between"] = recondition
+    return {
+        "model": [model.name, dict(model.spec())],
         "data": dict(data),
-        "splitter": {"class": type(splitter).__name__} | vars(splitter),
+        "origins": {"window": splitter.window, "horizon": splitter.horizon, "step": splitter.step},
+        "refits": refits,
+        "targets": [policy] if policy != "none" else [],
         "scoring": dict(scoring or {}),
         "seed": int(seed),
-        "package_version": VERSION,
-        "environment": dict(environment if environment is not None else machine()),
+        "made_by": [VERSION, dict(machine() if environment is None else environment)],
     }
-    protocol = ({"recondition": recondition} if splitter.refit_every > 1 else {}) | ({"invalid_targets": policy} if policy != "none" else {})
-    return config | ({"protocol": protocol} if protocol else {})
 
 
 def machine() -> dict:
