@@ -34,11 +34,17 @@ def hit(y: Column, var: Column) -> Column:
     return F.when(y.isNotNull() & var.isNotNull(), (y < var).cast("double"))
 
 
-def fz0(y: Column, var: Column, es: Column, level: float) -> Column:
-    """Joint loss of quantile and expected shortfall; defined for es < 0 and es <= var."""
+def fz0(y: Column, var: Column, es: Column, level: float, strict: bool = True) -> Column:
+    """Joint loss of quantile and expected shortfall, for es < 0 and es <= var; NULL where an input is.
+
+    Forecasts outside that domain have no loss: an error, or NULL if not ``strict``.
+    """
     ok = (es < 0) & (es <= var)
     short = F.when(y <= var, var - y).otherwise(0.0)
-    return F.when(ok & y.isNotNull(), -short / (level * F.when(ok, es)) + var / F.when(ok, es) + F.log(-F.when(ok, es)) - 1)
+    loss = F.when(ok & y.isNotNull(), -short / (level * F.when(ok, es)) + var / F.when(ok, es) + F.log(-F.when(ok, es)) - 1)
+    if not strict:
+        return loss
+    return F.when(~ok & y.isNotNull(), F.raise_error(F.lit("expected shortfall must be below 0 and not above the quantile")).cast("double")).otherwise(loss)
 
 
 def periods_per_year(asset: Column) -> Column:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Window
@@ -71,7 +70,3 @@ def report(periods: DataFrame, book: Book = Book()) -> DataFrame:
         F.greatest("max_drawdown", F.lit(0.0)).alias("max_drawdown"), "avg_leverage", "avg_daily_turnover",
         (F.col("avg_daily_turnover") * year).alias("annual_turnover"), (F.col("avg_daily_turnover") * (book.cost_bps / 10_000) * year).alias("annual_cost_drag"), "ruined",
     )
-
-
-def daily_target(book: Book, periods: float) -> float:
-    return book.annual_target_vol / math.sqrt(periods)

@@ -13,7 +13,7 @@ from ..functions.special import t_cdf
 
 #: Resamples drawn together; part of a seed's meaning.
 CHUNK = 256
-MCS_SCHEMA = "asset string, model string, mean_loss double, p_value double, included boolean, eliminated long, step_p double, n long, n_dropped long, block_length long"
+MCS_SCHEMA = "asset string, horizon long, model string, mean_loss double, p_value double, included boolean, eliminated long, step_p double, n long, n_dropped long, block_length long"
 
 
 def losses(rows: DataFrame, score: str, policy: str = "flagged") -> DataFrame:
@@ -35,8 +35,11 @@ def ambiguous(long: DataFrame) -> DataFrame:
     return long.groupBy("asset", "horizon", "origin_index", "model").agg(F.count("*").alias("n")).where("n > 1")
 
 
-def diebold_mariano(long: DataFrame, lag: int | None = None, kernel: str = "rectangular", hln: bool = True) -> DataFrame:
-    """Every ordered pair of models for each (asset, horizon): statistic, p_value, mean_diff, variance, n.
+def diebold_mariano(long: DataFrame, lag: int | None = None, kernel: str = "rectangular", hln: bool = True, alternative: str = "two-sided") -> DataFrame:
+    """Every ordered pair of models for each (asset, horizon): n, n_dropped, mean_diff, variance, variance_nonpositive, statistic, p_value.
+
+    ``alternative`` is 'two-sided', 'less' (model_a has the smaller loss) or 'greater'.
+    n_dropped counts origins at which either model has no loss.
 
     Pairs are complete pair by pair, and lags run over the compressed sequence.
     Grouped sums over arrays of differences; only the t distribution needs
@@ -44,6 +47,8 @@ def diebold_mariano(long: DataFrame, lag: int | None = None, kernel: str = "rect
     """
     if kernel not in ("rectangular", "bartlett"):
         raise ValueError(f"unknown kernel {kernel}")
+    if alternative not in ("two-sided", "less", "greater"):
+        raise ValueError(f"unknown alternative {alternative}")
     by = ["asset", "horizon", "model_a", "model_b"]
     # the losses of an origin are as many as there are models: pairs come from one array, without a self-join
     # (collect_list passes over missing ones; a filter would carry the score's whole expression down the plan)
@@ -57,6 +62,8 @@ def diebold_mariano(long: DataFrame, lag: int | None = None, kernel: str = "rect
     h = F.col("lags") + 1
     weight = (lambda k: F.lit(1.0)) if kernel == "rectangular" else (lambda k: 1 - k / h)
     long_run = F.aggregate(F.when(F.col("lags") >= 1, F.sequence(F.lit(1), F.col("lags"))).otherwise(F.array().cast("array<int>")), F.lit(0.0), lambda s, k: s + 2 * weight(k) * gamma(k))
+    origins = sets.groupBy("asset", "horizon").agg(F.count("*").alias("origins"))  # a row for each asset and horizon
+    arrays = arrays.join(origins, ["asset", "horizon"]).withColumn("n_dropped", F.col("origins") - F.col("n")).drop("origins")
     out = arrays.where(F.col("n") > F.greatest(h, F.lit(1))).withColumn("variance", (gamma(F.lit(0)) + long_run) / F.col("n"))
     n = F.col("n").cast("double")
     factor = F.sqrt((n + 1 - 2 * h + h * (h - 1) / n) / n) if hln else F.lit(1.0)
@@ -66,14 +73,15 @@ def diebold_mariano(long: DataFrame, lag: int | None = None, kernel: str = "rect
 
     @F.pandas_udf("double")
     def p_value(stat: pd.Series, n: pd.Series) -> pd.Series:
-        if hln:
-            return pd.Series([2 * t_cdf(-abs(s), k - 1) for s, k in zip(stat, n, strict=True)])
-        return pd.Series([math.erfc(abs(s) / math.sqrt(2)) for s in stat])
+        below = [t_cdf(s, k - 1) if hln else 0.5 * math.erfc(-s / math.sqrt(2)) for s, k in zip(stat, n, strict=True)]
+        return pd.Series(below, dtype=float)  # probability of a smaller statistic
 
-    out = out.withColumn("p_value", p_value("statistic", "n"))
-    side = lambda a, b, sign: F.struct(F.col(a).alias("model_a"), F.col(b).alias("model_b"), (sign * F.col("mean_diff")).alias("mean_diff"), (sign * F.col("statistic")).alias("statistic"))
-    both = out.select("asset", "horizon", "n", "variance", "p_value", F.explode(F.array(side("model_a", "model_b", 1.0), side("model_b", "model_a", -1.0))).alias("s"))
-    return both.select("asset", "horizon", "s.model_a", "s.model_b", "n", "s.mean_diff", "variance", "s.statistic", "p_value")
+    out = out.withColumn("below", p_value("statistic", "n"))
+    flip = lambda sign: F.col("below") if sign > 0 else 1 - F.col("below")
+    tail = {"two-sided": lambda p: 2 * F.least(p, 1 - p), "less": lambda p: p, "greater": lambda p: 1 - p}[alternative]
+    side = lambda a, b, sign: F.struct(F.col(a).alias("model_a"), F.col(b).alias("model_b"), (sign * F.col("mean_diff")).alias("mean_diff"), (sign * F.col("statistic")).alias("statistic"), tail(flip(sign)).alias("p_value"))
+    both = out.select("asset", "horizon", "n", "n_dropped", "variance", F.explode(F.array(side("model_a", "model_b", 1.0), side("model_b", "model_a", -1.0))).alias("s"))
+    return both.select("asset", "horizon", "s.model_a", "s.model_b", "n", "n_dropped", "s.mean_diff", "variance", (F.col("variance") <= 0).alias("variance_nonpositive"), "s.statistic", "s.p_value")
 
 
 def block_sums(long: DataFrame, length: int) -> DataFrame:
@@ -179,32 +187,37 @@ def confidence_set(x: np.ndarray, seed: int, alpha: float = 0.1, n_boot: int = 1
     return {"p": [p[k] for k in range(m)], "included": [p[k] >= alpha for k in range(m)], "order": [*order, alive[0]], "steps": steps, "mean": mean, "length": length}
 
 
-def model_confidence_sets(long: DataFrame, seed: int, alpha: float = 0.1, n_boot: int = 10_000, length: int | None = None, statistic: str = "range", horizon: int = 1) -> DataFrame:
-    """A confidence set for each asset: one Arrow group of origins x models; origins missing any model are dropped for all."""
+def _wide(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Origins x models; a second loss of one origin and model is an error."""
+    return pdf.pivot(index="origin_index", columns="model", values="loss").sort_index()
+
+
+def model_confidence_sets(long: DataFrame, seed: int, alpha: float = 0.1, n_boot: int = 10_000, length: int | None = None, statistic: str = "range") -> DataFrame:
+    """A confidence set for each (asset, horizon): one Arrow group of origins x models; origins missing any model are dropped for all."""
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        wide = pdf.pivot(index="origin_index", columns="model", values="loss").sort_index()
+        wide, horizon = _wide(pdf), int(pdf.horizon.iloc[0])
         full = wide.dropna()
         r = confidence_set(full.to_numpy(float), seed, alpha, n_boot, length, statistic, horizon)
         rank = {k: i for i, k in enumerate(r["order"])}
-        return pd.DataFrame({"asset": pdf.asset.iloc[0], "model": list(full.columns), "mean_loss": r["mean"], "p_value": r["p"], "included": r["included"], "eliminated": [rank[k] for k in range(len(rank))], "step_p": [r["steps"][rank[k]] if rank[k] < len(r["steps"]) else 1.0 for k in range(len(rank))], "n": len(full), "n_dropped": len(wide) - len(full), "block_length": r["length"]})
+        return pd.DataFrame({"asset": pdf.asset.iloc[0], "horizon": horizon, "model": list(full.columns), "mean_loss": r["mean"], "p_value": r["p"], "included": r["included"], "eliminated": [rank[k] for k in range(len(rank))], "step_p": [r["steps"][rank[k]] if rank[k] < len(r["steps"]) else 1.0 for k in range(len(rank))], "n": len(full), "n_dropped": len(wide) - len(full), "block_length": r["length"]})
 
-    return long.groupBy("asset").applyInPandas(one, MCS_SCHEMA)
+    return long.groupBy("asset", "horizon").applyInPandas(one, MCS_SCHEMA)
 
 
 def block_lengths(long: DataFrame) -> DataFrame:
-    """Automatic block length of each pair of models and asset."""
+    """Automatic block length of each pair of models, asset and horizon."""
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        wide = pdf.pivot(index="origin_index", columns="model", values="loss").sort_index().dropna()
+        wide = _wide(pdf).dropna()
         c = list(wide.columns)
-        out = [(pdf.asset.iloc[0], c[i], c[j], automatic_block_length((wide[c[i]] - wide[c[j]]).to_numpy(float))) for i in range(len(c)) for j in range(i + 1, len(c))]
-        return pd.DataFrame(out, columns=["asset", "model_a", "model_b", "block_length"])
+        out = [(pdf.asset.iloc[0], int(pdf.horizon.iloc[0]), c[i], c[j], automatic_block_length((wide[c[i]] - wide[c[j]]).to_numpy(float))) for i in range(len(c)) for j in range(i + 1, len(c))]
+        return pd.DataFrame(out, columns=["asset", "horizon", "model_a", "model_b", "block_length"])
 
-    return long.groupBy("asset").applyInPandas(one, "asset string, model_a string, model_b string, block_length double")
+    return long.groupBy("asset", "horizon").applyInPandas(one, "asset string, horizon long, model_a string, model_b string, block_length double")
 
 
 def comparison(long: DataFrame, seed: int, n_boot: int = 10_000) -> DataFrame:
     """Confidence set joined with how many others each model beats in pairwise tests at 5 per cent, by mean loss."""
-    beats = diebold_mariano(long).groupBy("asset", F.col("model_a").alias("model")).agg(F.count_if((F.col("statistic") < 0) & (F.col("p_value") < 0.05)).alias("n_beaten"))
-    return model_confidence_sets(long, seed, n_boot=n_boot).join(beats, ["asset", "model"], "left").orderBy("asset", "mean_loss", "model")
+    beats = diebold_mariano(long).groupBy("asset", F.col("horizon").cast("long").alias("horizon"), F.col("model_a").alias("model")).agg(F.count_if((F.col("statistic") < 0) & (F.col("p_value") < 0.05)).alias("n_beaten"))
+    return model_confidence_sets(long, seed, n_boot=n_boot).join(beats, ["asset", "horizon", "model"], "left").orderBy("asset", "horizon", "mean_loss", "model")

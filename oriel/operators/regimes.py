@@ -33,10 +33,15 @@ def checked(regimes: tuple[Regime, ...]) -> tuple[Regime, ...]:
     return ordered
 
 
-#: Market crises by closed date intervals.
-CRISES = checked((Regime("gfc", date(2007, 8, 9), date(2009, 6, 30)), Regime("euro", date(2011, 7, 1), date(2011, 12, 30)), Regime("covid", date(2020, 2, 20), date(2020, 6, 30)), Regime("rates", date(2022, 1, 3), date(2022, 10, 31))))
+# Market crises by closed date intervals.
+CRISES = checked((
+    Regime("gfc", date(2008, 9, 1), date(2009, 3, 31)),
+    Regime("covid", date(2020, 2, 1), date(2020, 4, 30)),
+    Regime("tightening_2022", date(2022, 1, 1), date(2022, 10, 31)),
+    Regime("spike_2024_08", date(2024, 8, 1), date(2024, 8, 31)),
+))
 #: Known but not dated yet; looking them up tells so.
-PENDING = {"latest": "no end date yet"}
+PENDING = {"stress_2025_26": "its dates are not fixed yet"}
 
 
 def regime_by_tag(tag: str, regimes: tuple[Regime, ...] = CRISES) -> Regime:
