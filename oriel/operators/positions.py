@@ -65,6 +65,16 @@ def train_windows(rows: DataFrame, column: str, window: int) -> DataFrame:
     return rows.where(F.col("pos").isNotNull()).withColumn("train", F.when(F.col("pos") >= window - 1, F.collect_list(column).over(frame)))
 
 
+def supervised(rows: DataFrame, column: str, lookback: int, horizon: int) -> DataFrame:
+    """(asset, pos, inputs, targets): every full pair of ``lookback`` values up to a position and the ``horizon`` after it.
+
+    The last target is the asset's last value; pairs never reach beyond what is there.
+    """
+    past, future = by_pos().rowsBetween(-(lookback - 1), 0), by_pos().rowsBetween(1, horizon)
+    out = rows.select("asset", "pos", F.collect_list(column).over(past).alias("inputs"), F.collect_list(column).over(future).alias("targets"))
+    return out.where((F.size("inputs") == lookback) & (F.size("targets") == horizon))
+
+
 def compaction(rows: DataFrame, valid: str, window: int) -> DataFrame:
     """For every row the last ``window`` valid positions up to it: first and last of them, and how many are skipped between.
 

@@ -39,17 +39,54 @@ def reason_of(stage: str, origin: int, e: BaseException) -> str:
     return f"{stage}@{origin}: {type(e).__name__}: {' '.join(str(e).split())}"
 
 
-def native_scores(series: DataFrame, s: Pos.Splitter, ret: str, proxy: str, models=("naive", "ewma"), arm: Arm = Arm(), seed: int = 0) -> DataFrame:
-    """Scored rows of native models.  series: (asset, ts, pos, n, ret, proxy)."""
-    made = forecasts(series.select("asset", "ts", "pos", "n", ret), ret, s.window, models)
+@dataclass(frozen=True)
+class Native:
+    """A model that is a window expression, as a grid or a backtest names it."""
+
+    name: str
+
+    def spec(self) -> dict:
+        return {"native": self.name}
+
+
+def run_backtest(series: DataFrame, models, s: Pos.Splitter, ret: str, proxy: str, variance: str | None = None, arm: Arm = Arm(), seed: int = 0, compact: bool = False, levels=M.LEVELS, only: DataFrame | None = None) -> DataFrame:
+    """Scored rows of native and block models together, in the columns of ``block_schema``.
+
+    ``only`` (asset, model) names the cells to compute, all if it is not given.
+    """
+    native = tuple(m.name for m in models if isinstance(m, Native))
+    block = [m for m in models if not isinstance(m, Native)]
+    columns, out = [f.split()[0] for f in block_schema(levels).split(", ")], None
+    if native:
+        rows = native_scores(series, s, ret, proxy, native, arm, seed, levels)
+        if only is not None:
+            rows = rows.join(F.broadcast(only), ["asset", "model"], "left_semi")  # a row a cell
+        kinds = dict(f.split() for f in block_schema(levels).split(", "))
+        out = rows.select(*[F.col(c).cast(kinds[c]).alias(c) for c in columns])
+    if block:
+        rows = block_scores(series, block, s, ret, proxy, variance, arm, seed, compact, levels, only)
+        out = rows if out is None else out.unionByName(rows)
+    if out is None:
+        raise ValueError("a backtest needs a model")
+    return out
+
+
+def native_scores(series: DataFrame, s: Pos.Splitter, ret: str, proxy: str, models=("naive", "ewma"), arm: Arm = Arm(), seed: int = 0, levels=M.LEVELS) -> DataFrame:
+    """Scored rows of native models.  series: (asset, ts, pos, n, ret, proxy).
+
+    What comes to pass is read ahead by the window that is there anyway: the
+    series is scanned once and joined with nothing.
+    """
+    ahead = F.array(*[F.struct(F.lit(h).alias("horizon"), *[F.lead(c, h).over(Pos.by_pos()).alias(a) for c, a in ((ret, "realized_return"), (proxy, "proxy_var"), ("ts", "target_ts"))]) for h in range(1, s.horizon + 1)])
+    made = forecasts(series.select("asset", "ts", "pos", "n", ret, proxy).withColumn("ahead", ahead), ret, s.window, models)
     out = Pos.origins(made, s)
     if arm.recondition == "none":
         held = made.select("asset", "model", F.col("pos").alias("fit_origin"), F.col("forecast_var").alias("held_var"))
         out = out.join(held, ["asset", "model", "fit_origin"], "left").withColumn("forecast_var", F.col("held_var")).drop("held_var")
     out = out.withColumn("conditioned_through", F.col("pos") if arm.recondition == "daily" else F.col("fit_origin"))
-    out = Pos.exploded(out, s.horizon).drop("n", "k", "block_id", ret, "ts").withColumnsRenamed({"pos": "origin_index"})
-    out = scoring.realised(out.withColumns({"forecast_mean": F.lit(0.0), "seed": F.lit(seed).cast("long"), "fit_status": F.lit(""), "proxy_name": F.lit(proxy)}), series, ret, proxy)
-    return scoring.normal_scores(out)
+    out = out.withColumn("a", F.explode("ahead")).select("asset", "model", F.col("pos").alias("origin_index"), "refit", "fit_origin", "conditioned_through", "forecast_var", "a.*")
+    out = out.withColumns({"target_index": F.col("origin_index") + F.col("horizon"), "forecast_mean": F.lit(0.0), "seed": F.lit(seed).cast("long"), "fit_status": F.lit(""), "proxy_name": F.lit(proxy)})
+    return scoring.normal_scores(out, levels)
 
 
 def block_schema(levels=M.LEVELS) -> str:
@@ -94,7 +131,7 @@ def score_row(d: Distribution, y: float, proxy: float, levels=M.LEVELS) -> dict:
     return out
 
 
-def run_block(model, pdf: pd.DataFrame, s: Pos.Splitter, arm: Arm, proxy_name: str, seed: int, compact: bool = False) -> pd.DataFrame:
+def run_block(model, pdf: pd.DataFrame, s: Pos.Splitter, arm: Arm, proxy_name: str, seed: int, compact: bool = False, levels=M.LEVELS) -> pd.DataFrame:
     """One refit block: rows (pos, x, y, proxy, valid, is_origin, k) of one asset in order."""
     pdf = pdf.sort_values("pos")
     pos, x = pdf.pos.to_numpy(), pdf.x.to_numpy(float)
@@ -138,16 +175,16 @@ def run_block(model, pdf: pd.DataFrame, s: Pos.Splitter, arm: Arm, proxy_name: s
                 try:
                     d = state.predict(h)
                     stage = "score_error"
-                    row |= score_row(d, row["realized_return"], row["proxy_var"])
+                    row |= score_row(d, row["realized_return"], row["proxy_var"], levels)
                 except Exception as e:
                     row["missing_reason"] = reason_of(stage, origin, e)
             rows.append(row)
     return pd.DataFrame(rows)
 
 
-def _block_runner(by_name: dict, s: Pos.Splitter, arm: Arm, proxy: str, seed: int, compact: bool, names: list[str], kinds: dict):
+def _block_runner(by_name: dict, s: Pos.Splitter, arm: Arm, proxy: str, seed: int, compact: bool, names: list[str], kinds: dict, levels=M.LEVELS):
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        got = run_block(by_name[pdf.model.iloc[0]], pdf, s, arm, proxy, seed, compact)
+        got = run_block(by_name[pdf.model.iloc[0]], pdf, s, arm, proxy, seed, compact, levels)
         for n in names:
             if n not in got:
                 got[n] = None if kinds[n] == "string" else np.nan
@@ -158,14 +195,14 @@ def _block_runner(by_name: dict, s: Pos.Splitter, arm: Arm, proxy: str, seed: in
     return one
 
 
-def block_scores(series: DataFrame, models, s: Pos.Splitter, ret: str, proxy: str, variance: str | None = None, arm: Arm = Arm(), seed: int = 0, compact: bool = False) -> DataFrame:
+def block_scores(series: DataFrame, models, s: Pos.Splitter, ret: str, proxy: str, variance: str | None = None, arm: Arm = Arm(), seed: int = 0, compact: bool = False, levels=M.LEVELS, only: DataFrame | None = None) -> DataFrame:
     """Scored rows of block models: series (asset, ts, pos, n, ret, proxy[, variance]).
 
     A block's group holds its origins, the window before them and the targets
     after.  With ``compact`` windows are the last valid observations, so a
     group reaches back to the start of the series.
     """
-    schema = block_schema()
+    schema = block_schema(levels)
     names = [f.split()[0] for f in schema.split(", ")]
     kinds = {f.split()[0]: f.split()[1] for f in schema.split(", ")}
     span = s.refit_every * s.step
@@ -189,8 +226,10 @@ def block_scores(series: DataFrame, models, s: Pos.Splitter, ret: str, proxy: st
         )
         rows = rows.withColumn("is_origin", F.col("candidate") & (F.floor(F.col("k") / s.refit_every) == F.col("block"))).drop("candidate")
         rows = rows.select("*", F.explode(F.array(*[F.lit(m.name) for m in chosen])).alias("model"))
+        if only is not None:
+            rows = rows.join(F.broadcast(only), ["asset", "model"], "left_semi")  # a row a cell
         by_name = {m.name: m for m in chosen}
 
-        part = rows.groupBy("asset", "model", "block").applyInPandas(_block_runner(by_name, s, arm, proxy, seed, compact, names, kinds), schema)
+        part = rows.groupBy("asset", "model", "block").applyInPandas(_block_runner(by_name, s, arm, proxy, seed, compact, names, kinds, levels), schema)
         out = part if out is None else out.unionByName(part)
     return out

@@ -20,7 +20,7 @@ from .functions import proxies as P
 from .functions.dist import Distribution
 from .models import block, native
 from .operators import bars, diagnostics, econ, inference, positions, regimes, risk, scoring
-from .plans import backtest, grid, identity
+from .plans import backtest, grid, identity, panel
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -199,6 +199,28 @@ def crisis_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return regimes.indicators(daily(spark, sf_dir).select("asset", "ts"), "ts", REGIMES)
 
 
+@query
+def dated_crises(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The dated crises over bars moved on by 14 years, into the times they lie in."""
+    t = daily(spark, sf_dir).select("asset", F.add_months("ts", 168).alias("ts"))
+    return t.select("asset", "ts", regimes.tag_of(F.col("ts")).alias("regime"), regimes.order_of(regimes.tag_of(F.col("ts"))).cast("long").alias("regime_ord"))
+
+
+@query
+def supervised_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w = positions.supervised(series(spark, sf_dir), "ret", 10, 3)
+    total = lambda c: F.aggregate(c, F.lit(0.0), lambda a, x: a + x)
+    return rounded(w.select("asset", "pos", total("inputs").alias("inputs"), total("targets").alias("targets"), F.element_at("targets", -1).alias("last")))
+
+
+@query
+def panel_build(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Targets and quality counts of a panel in one call."""
+    t, q = panel.build(raw_bars(spark, sf_dir), start=date(1993, 1, 1), end=date(1996, 12, 31))
+    n = t.groupBy("asset").agg(F.count("*").alias("n_days"), F.count("overnight_plus_range").alias("n_targets"))
+    return n.join(q, "asset")
+
+
 @query
 def crisis_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = series(spark, sf_dir)
@@ -384,12 +406,12 @@ def loss_ambiguity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def dm_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(inference.diebold_mariano(inference.losses(scored(spark, sf_dir), "crps")).drop("p_value"))
+    return rounded(inference.diebold_mariano(inference.losses(scored(spark, sf_dir), "crps")).drop("p_value", "n_dropped", "variance_nonpositive"))
 
 
 @query
 def dm_bartlett(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(inference.diebold_mariano(inference.losses(scored(spark, sf_dir), "crps"), lag=3, kernel="bartlett", hln=False).drop("p_value"))
+    return rounded(inference.diebold_mariano(inference.losses(scored(spark, sf_dir), "crps"), lag=3, kernel="bartlett", hln=False).drop("p_value", "n_dropped", "variance_nonpositive"))
 
 
 @query
@@ -430,10 +452,7 @@ def fit_status_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    assets = daily(spark, sf_dir).select("asset").distinct()
-    models = spark.createDataFrame([("ewma",), ("naive",), ("har",)], "model string")
-    steps = spark.createDataFrame([(1,), (5,)], "horizon int").crossJoin(spark.createDataFrame([("daily",), ("none",)], "arm string"))
-    return grid.indexed(assets.crossJoin(models).crossJoin(steps)).withColumn("horizon", F.col("horizon").cast("long"))
+    return grid.indexed(daily(spark, sf_dir), ["ewma", "naive", "har"], [1, 5], ["daily", "none"])
 
 
 @query
@@ -615,6 +634,11 @@ _sql("calendar_gaps", _BARS, "SELECT * FROM (SELECT *, row_number() OVER (PARTIT
 _TAG = "CASE " + " ".join(f"WHEN {{d}} BETWEEN DATE '{r.start}' AND DATE '{r.end}' THEN '{r.tag}'" for r in REGIMES) + " ELSE 'calm' END"
 _sql("crisis_tags", _BARS, f"SELECT asset, ts, {_TAG.format(d='ts')} AS regime, CASE {_TAG.format(d='ts')} WHEN 'calm' THEN 0 WHEN 'alpha' THEN 1 WHEN 'beta' THEN 2 ELSE 3 END::BIGINT AS regime_ord FROM bars")
 _sql("crisis_table", _BARS, "SELECT asset, ts, " + ", ".join(f"(ts BETWEEN DATE '{r.start}' AND DATE '{r.end}')::BIGINT AS is_{r.tag}" for r in REGIMES) + " FROM bars")
+_CRISES = "CASE " + " ".join(f"WHEN {{d}} BETWEEN DATE '{a}' AND DATE '{b}' THEN {{{k}}}" for k, (a, b) in enumerate([("2008-09-01", "2009-03-31"), ("2020-02-01", "2020-04-30"), ("2022-01-01", "2022-10-31"), ("2024-08-01", "2024-08-31")])) + " ELSE {4} END"
+_DATED = _CRISES.format("'gfc'", "'covid'", "'tightening_2022'", "'spike_2024_08'", "'calm'", d="d")
+_sql("dated_crises", f"{_BARS}, moved AS (SELECT asset, CAST(ts + INTERVAL 168 MONTH AS DATE) AS d FROM bars)", f"SELECT asset, d AS ts, {_DATED} AS regime, ({_CRISES.format(1, 2, 3, 4, 0, d='d')})::BIGINT AS regime_ord FROM moved")
+_sql("supervised_windows", _SERIES, "SELECT a.asset, a.pos, round(sum(b.ret) FILTER (b.pos <= a.pos), 5) AS inputs, round(sum(b.ret) FILTER (b.pos > a.pos), 5) AS targets, round(arg_max(b.ret, b.pos), 5) AS last FROM series a JOIN series b ON b.asset = a.asset AND b.pos BETWEEN a.pos - 9 AND a.pos + 3 WHERE a.pos >= 9 AND a.pos + 3 < a.n GROUP BY 1, 2")
+_sql("panel_build", _TARGETS, "SELECT t.asset, n_days, n_targets, n_bars, n_inconsistent, n_clamped, n_zero_range, n_nonpositive FROM (SELECT asset, count(*) AS n_days, count(overnight_plus_range) AS n_targets FROM targets WHERE ts BETWEEN DATE '1993-01-01' AND DATE '1996-12-31' GROUP BY 1) t JOIN (SELECT asset, count(*) AS n_bars, count(*) FILTER (inconsistent) AS n_inconsistent, count(*) FILTER (clamped) AS n_clamped, count(*) FILTER (raw_high = raw_low) AS n_zero_range, count(*) FILTER (raw_high <= 0 OR raw_low <= 0) AS n_nonpositive FROM repaired GROUP BY 1) q USING (asset)")
 _sql("crisis_coverage", _origins(100, 2, 1, 21), f"SELECT s.asset, {_TAG.format(d='s.ts')} AS regime, count(*) AS available, count(t.pos)::BIGINT AS scored FROM series s LEFT JOIN (SELECT DISTINCT asset, pos + unnest([1, 2]) AS pos FROM origins) t ON t.asset = s.asset AND t.pos = s.pos GROUP BY 1, 2")
 _sql("series_diagnostics", f"""{_TARGETS}, d AS (
   SELECT *, (ts - lag(ts) OVER w)::BIGINT AS gap, ln(open / lag(close) OVER w) AS on_r, ln(close / open) AS in_r FROM targets {_W}

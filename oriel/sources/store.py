@@ -41,13 +41,25 @@ class ResultsStore:
         null = rows.where(" or ".join(f"{k} is null" for k in KEYS)).groupBy(*KEYS).agg(F.lit("null key").alias("problem"))
         return null.unionByName(rows.groupBy(*KEYS).agg(F.count("*").alias("n")).where("n > 1").drop("n").withColumn("problem", F.lit("repeated key")))
 
+    def missing(self, cells: DataFrame) -> DataFrame:
+        """Rows of ``cells`` whose config_hash the store does not hold."""
+        try:
+            have = self.read(cells.sparkSession).select("config_hash").distinct()
+        except AnalysisException:  # nothing written yet
+            return cells
+        return cells.join(have, "config_hash", "left_anti")
+
     def write(self, rows: DataFrame, overwrite: bool = False) -> None:
-        """Appends the partitions the store lacks; with ``overwrite`` replaces those the rows bring."""
-        spark = rows.sparkSession
+        """Appends the partitions the store lacks; with ``overwrite`` replaces those the rows bring.
+
+        Rows are written in order of their keys.  Null and repeated keys are
+        refused before anything is written.
+        """
         if not overwrite:
-            have = self.hashes(spark)
-            if have:
-                rows = rows.join(spark.createDataFrame([(h,) for h in have], "config_hash string"), "config_hash", "left_anti")
-            rows.write.mode("append").partitionBy("config_hash").parquet(self.root)
-        else:
-            rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("config_hash").parquet(self.root)
+            rows = self.missing(rows)
+        bad = self.problems(rows).first()
+        if bad is not None:
+            raise ValueError(f"{bad['problem']}: {[bad[k] for k in KEYS]}")
+        rows = rows.repartition("config_hash").sortWithinPartitions(*KEYS)
+        out = rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic") if overwrite else rows.write.mode("append")
+        out.partitionBy("config_hash").parquet(self.root)

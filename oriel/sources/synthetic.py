@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
 
-def simulated(n_days: int = 701, seed: int = 20260823, price: float = 100.0, steps: int = 390, overnight: float = 0.09, omega: float = 2.4e-6, alpha: float = 0.06, beta: float = 0.92) -> pd.DataFrame:
+def simulated(n_days: int = 701, seed: int = 20260823, price: float = 4000.0, steps: int = 5000, overnight: float = 0.09, omega: float = 2.4e-6, alpha: float = 0.06, beta: float = 0.92) -> pd.DataFrame:
     """Daily bars of a GARCH(1,1) variance: an overnight jump, then a random walk whose extremes are the bar's."""
     rng = np.random.default_rng(seed)
     v, last, rows = omega / (1 - alpha - beta), np.log(price), []
