@@ -13,6 +13,7 @@ every pretoken sees its ranks in ascending order.
 
 from __future__ import annotations
 
+import gc
 import json
 from hashlib import sha256
 from heapq import heappop, heappush
@@ -27,7 +28,7 @@ from .base import chunks, text_or_empty, utf8_list
 #: The pretoken pattern of byte-level BPE.
 PRETOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: About the most bytes of encoded words in each of four dictionaries, kept for a Python worker's next task; bytes of unseen pretokens merged together.
-CACHED, TOGETHER = 40 << 20, 1 << 20
+CACHED, TOGETHER = 64 << 20, 1 << 20
 #: Pairs of fewer positions than this are merged at one after the other, others at all of them by arrays.
 MANY = 48
 
@@ -314,11 +315,16 @@ def encoder(path: str | None = None, specials: bool = True) -> Encoder:
     return _ENCODERS[path, specials]
 
 
-def encoded(enc: Encoder, texts: pa.Array, most: int = 1 << 21):
+def encoded(enc: Encoder, texts: pa.Array, most: int = 1 << 22):
     """(index, ids) of each text of an Arrow column, in order; null is empty."""
     raw = utf8_list(texts)
     for lo, hi in chunks(raw, most):
-        for i, ids in enumerate(enc.encode([t.decode("utf-8", "replace") for t in raw[lo:hi]])):
+        gc.disable()  # nothing in an encoding refers back to itself, and millions of its lists and strings are young
+        try:
+            found = enc.encode([t.decode("utf-8", "replace") for t in raw[lo:hi]])
+        finally:
+            gc.enable()
+        for i, ids in enumerate(found):
             yield lo + i, ids
 
 
