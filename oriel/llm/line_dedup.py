@@ -28,12 +28,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .base import SPACE, Bloom, Positions, bloom_of, discard, text_or_empty, utf8_list, written
+from .base import SPACE, Bloom, Positions, bloom_of, chunks, discard, text_or_empty, utf8_list, written
 
 _NONE = -(2**63)
 #: Holders of a window that round 2 tries. Decides only how much is left to round 3, which tries all.
 FEW = 8
 _LEFT = "array<struct<x: long, lo: int, n: int>>"
+#: Values a task gathers before it hands them on.
+HELD = 1 << 17
 
 
 def _increasing(values: list[int]) -> list[int]:
@@ -123,13 +125,27 @@ def windows(h: list[int], words: list[int], min_words: int) -> list[tuple[int, i
     return out
 
 
+def lists(column: pa.Array):
+    """The lists of a column of numbers, one at a time: as Python numbers a batch takes many times its size."""
+    flat = column.flatten().to_numpy(zero_copy_only=False)
+    lo = 0
+    for hi in np.cumsum(column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False), dtype=np.int64).tolist():
+        yield flat[lo:hi].tolist()
+        lo = hi
+
+
 def _postings(arrays: DataFrame, min_words: int) -> DataFrame:
     """(d, x): the windows of each document."""
 
     def run(batches):
         for b in batches:
-            found = [list({x for x, _, _ in windows(h, w, min_words)}) for h, w in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(found, pa.list_(pa.int64()))], ["i", "tk", "x"])
+            lo, held, found = 0, 0, []
+            for k, (h, w) in enumerate(zip(lists(b.column(2)), lists(b.column(3)), strict=True), 1):
+                found.append(list({x for x, _, _ in windows(h, w, min_words)}))
+                held += len(found[-1])
+                if held >= HELD or k == len(b):
+                    yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, k - lo), b.column(1).slice(lo, k - lo), pa.array(found, pa.list_(pa.int64()))], ["i", "tk", "x"])
+                    lo, held, found = k, 0, []
 
     return arrays.select("i", "tk", "h", "w").mapInArrow(run, "i long, tk long, x array<long>").select(F.struct("i", "tk").alias("d"), F.explode("x").alias("x"))
 
@@ -151,6 +167,9 @@ def _holders(arrays: DataFrame, asked: Bloom | None, lines: Bloom | None, min_wo
             before = np.concatenate([[0], np.cumsum(known)])[np.concatenate([[0], ends])]
             i, tk, c, x = [], [], [], []
             for k in np.flatnonzero(np.diff(before)):
+                if len(x) >= HELD:
+                    yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in (i, tk, c, x)], ["i", "tk", "c", "x"])
+                    i, tk, c, x = [], [], [], []
                 lo, hi = int(ends[k - 1]) if k else 0, int(ends[k])
                 own = flat[lo:hi]
                 found = np.array(list({y for y, _, _ in windows(own.tolist(), b.column(3)[int(k)].as_py(), min_words)}), np.int64)
@@ -173,17 +192,22 @@ def _holders(arrays: DataFrame, asked: Bloom | None, lines: Bloom | None, min_wo
 def _aligned(pairs: DataFrame, arrays: DataFrame, min_words: int) -> DataFrame:
     """(i, tk, gone, left) of pairs (d, e, x): lines that go from d, and the windows of ``x`` with a line that stays."""
 
+    windows_left = pa.list_(pa.struct([("x", pa.int64()), ("lo", pa.int32()), ("n", pa.int32())]))
+
     def run(batches):
         for b in batches:
-            gone, left = [], []
-            for h, w, other, asked in zip(*(b.column(k).to_pylist() for k in range(2, 6)), strict=True):
+            lo, held, gone, left = 0, 0, [], []
+            for k, (h, w, other, asked) in enumerate(zip(*(lists(b.column(c)) for c in range(2, 6)), strict=True), 1):
                 common = set(other)
                 out = common_blocks(h, other, w, min_words) if any(n >= min_words and y in common for y, n in zip(h, w, strict=True)) else []
                 gone.append(out)
                 out, asked = set(out), set(asked)
                 stays = [] if len(out) == len(h) else windows(h, w, min_words)
-                left.append([{"x": x, "lo": lo, "n": n} for x, lo, n in stays if x in asked and not out.issuperset(range(lo, lo + n))])
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(gone, pa.list_(pa.int32())), pa.array(left, pa.list_(pa.struct([("x", pa.int64()), ("lo", pa.int32()), ("n", pa.int32())])))], ["i", "tk", "gone", "left"])
+                left.append([{"x": x, "lo": at, "n": n} for x, at, n in stays if x in asked and not out.issuperset(range(at, at + n))])
+                held += len(gone[-1]) + 8 * len(left[-1])
+                if held >= HELD or k == len(b):
+                    yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, k - lo), b.column(1).slice(lo, k - lo), pa.array(gone, pa.list_(pa.int32())), pa.array(left, windows_left)], ["i", "tk", "gone", "left"])
+                    lo, held, gone, left = k, 0, [], []
 
     one = pairs.groupBy("d", "e").agg(F.collect_set("x").alias("x")).select(F.col("d.i").alias("i"), F.col("d.tk").alias("tk"), F.col("e.i").alias("ei"), F.col("e.tk").alias("etk"), "x")
     other = arrays.select(F.col("i").alias("ei"), F.col("tk").alias("etk"), F.col("h").alias("eh"))
@@ -259,22 +283,25 @@ def without_shared_lines(docs: DataFrame, key: str = "doc_id", text: str = "text
     rows = rows.join(gone.hint("merge"), ["i", "tk"], "left").select(*own.plain, "gone", *[] if as_text else ["t"])
 
     def apply(batches):
-        for b in batches:
-            total, removed, kept = [], [], []
-            for raw, away in zip(utf8_list(b.column(at if as_text else n + 1)), b.column(n).to_pylist(), strict=True):
-                split = raw.split(b"\n")
-                worded = [bool(x.strip(_WHITE)) for x in split]
-                total.append(sum(worded))
-                removed.append(len(away or ()))
-                if away:
-                    off, number, stay = set(away), -1, []
-                    for line, has in zip(split, worded, strict=True):
-                        number += has
-                        if not (has and number in off):
-                            stay.append(line)
-                    raw = b"\n".join(stay)
-                kept.append(raw)
-            yield pa.RecordBatch.from_arrays([*b.columns[:n], pa.array(total, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.large_binary()).cast(pa.large_string()).cast(pa.string())], [*names, *_ADDED])
+        for whole in batches:
+            texts = utf8_list(whole.column(at if as_text else n + 1))
+            for lo, hi in chunks(texts):
+                b = whole.slice(lo, hi - lo)
+                total, removed, kept = [], [], []
+                for raw, away in zip(texts[lo:hi], b.column(n).to_pylist(), strict=True):
+                    split = raw.split(b"\n")
+                    worded = [bool(x.strip(_WHITE)) for x in split]
+                    total.append(sum(worded))
+                    removed.append(len(away or ()))
+                    if away:
+                        off, number, stay = set(away), -1, []
+                        for line, has in zip(split, worded, strict=True):
+                            number += has
+                            if not (has and number in off):
+                                stay.append(line)
+                        raw = b"\n".join(stay)
+                    kept.append(raw)
+                yield pa.RecordBatch.from_arrays([*b.columns[:n], pa.array(total, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.large_binary()).cast(pa.large_string()).cast(pa.string())], [*names, *_ADDED])
 
     schema = T.StructType([T.StructField(c, f.dataType) for f, c in zip(own.fields, own.plain, strict=True)] + [T.StructField("n_lines", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_text", T.StringType())])
     return own.back(rows.mapInArrow(apply, schema), *_ADDED)
