@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import os
 import tempfile
 import uuid
@@ -122,6 +123,26 @@ def chunks(texts: list[bytes], most: int = 1 << 20, rows: int = 1 << 14):
         yield lo, len(texts)
 
 
+def _give_back() -> None:
+    """Returns memory that the worker has freed but still holds to the system, as far as its C library can."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def tidy(run):
+    """``run`` for ``mapInArrow``, after which the worker, which outlives the task, holds no more than it uses."""
+
+    def whole(batches):
+        try:
+            yield from run(batches)
+        finally:
+            _give_back()
+
+    return whole
+
+
 class Bloom:
     """A Bloom filter over mixed 64-bit hashes, in slices of at most 2^20 bits that are built apart."""
 
@@ -182,7 +203,7 @@ def bloom_of(keys: DataFrame, column: str, most: int = MOST_BITS) -> Bloom | Non
 
     dealt = keys.select(F.col(column).cast("long").alias("k"))
     dealt = dealt.repartition(slices, F.pmod(F.shiftrightunsigned("k", 40), F.lit(slices))) if slices > 1 else dealt.coalesce(1)
-    for r in dealt.mapInArrow(build, "s long, w binary").collect():  # bits / 8 bytes in all
+    for r in dealt.mapInArrow(tidy(build), "s long, w binary").collect():  # bits / 8 bytes in all
         out.words[r["s"]] = np.frombuffer(r["w"], np.uint8)
     return out
 
@@ -202,4 +223,4 @@ def thinned(rows: DataFrame, column: str, keys: DataFrame, name: str) -> DataFra
         for b in batches:
             yield b.filter(pa.array(shared.value.has(b.column(at).to_numpy(zero_copy_only=False).view(np.uint64))))
 
-    return rows.mapInArrow(run, rows.schema)
+    return rows.mapInArrow(tidy(run), rows.schema)

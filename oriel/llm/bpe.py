@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import chunks, text_or_empty, utf8_list
+from .base import chunks, text_or_empty, tidy, utf8_list
 
 #: The pretoken pattern of byte-level BPE.
 PRETOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -358,7 +358,7 @@ def encode_decode(docs: DataFrame, key: str = "doc_id", text: str = "text", path
         n = pa.array([len(x) // 4 for x in ids], pa.int64())
         return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(ids, pa.binary()), n, pa.array(back, pa.string())], ["k", "ids", "n_tokens", "decoded"])
 
-    out = docs.select(F.col(key).alias("k"), text_or_empty(text).alias("t")).mapInArrow(run, f"k {kind}, ids binary, n_tokens long, decoded string")
+    out = docs.select(F.col(key).alias("k"), text_or_empty(text).alias("t")).mapInArrow(tidy(run), f"k {kind}, ids binary, n_tokens long, decoded string")
     return out.withColumnRenamed("k", key)
 
 
@@ -382,5 +382,5 @@ def digests(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str
                 two.append(sha256(enc.decode(ids).encode("utf-8")).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(one, pa.string()), pa.array(two, pa.string())], ["k", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    out = docs.select(F.col(key).alias("k"), text_or_empty(text).alias("t")).mapInArrow(run, f"k {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    out = docs.select(F.col(key).alias("k"), text_or_empty(text).alias("t")).mapInArrow(tidy(run), f"k {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
     return out.withColumnRenamed("k", key)

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .base import SPACE, Bloom, bloom_of, discard, text_or_empty, thinned, written
+from .base import SPACE, Bloom, bloom_of, discard, text_or_empty, thinned, tidy, written
 
 #: Entries of a memtable before it is flushed; levels before they are compacted.
 MEMTABLE, LEVELS = 200_000, 4
@@ -64,7 +64,7 @@ def flushed_runs(digests: DataFrame, memtable: int = MEMTABLE) -> DataFrame:
         if table:
             yield flush()
 
-    return digests.select("digest", "keep").mapInArrow(run, f"digest binary, keep {kind.simpleString()}, n long")
+    return digests.select("digest", "keep").mapInArrow(tidy(run), f"digest binary, keep {kind.simpleString()}, n long")
 
 
 def compacted(*runs: DataFrame) -> DataFrame:
@@ -97,7 +97,7 @@ class Level:
                 for b in batches:
                     yield b.filter(pa.array(shared.value.has(b.column(1).to_numpy(zero_copy_only=False).view("uint64"))))
 
-            asked = asked.mapInArrow(maybe, asked.schema)
+            asked = asked.mapInArrow(tidy(maybe), asked.schema)
         return asked.select("digest").hint("merge").join(self.run.select("digest"), "digest", "left_semi")
 
 

@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .base import tidy
+
 # Element names of HTML.
 DROPPED = {"script", "style", "noscript", "template", "nav", "header", "footer", "aside", "form", "button", "select", "textarea", "svg", "iframe", "object", "head", "title", "math", "canvas", "audio", "video", "dialog", "menu"}
 BLOCK = {"address", "article", "blockquote", "body", "br", "center", "dd", "details", "div", "dl", "dt", "fieldset", "figcaption", "figure", "h1", "h2", "h3", "h4", "h5", "h6", "hr", "html", "li", "main", "ol", "p", "pre", "section", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul"}
@@ -266,4 +268,4 @@ def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())], ["k", "u", "text", "n_chars"])
 
     out = pages.select(F.col(key).alias("k"), F.col(url).alias("u"), F.col(html).cast("string").alias("h"))
-    return out.mapInArrow(run, f"k {kinds[key]}, u {kinds[url]}, text string, n_chars long").withColumnsRenamed({"k": key, "u": url})
+    return out.mapInArrow(tidy(run), f"k {kinds[key]}, u {kinds[url]}, text string, n_chars long").withColumnsRenamed({"k": key, "u": url})

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .base import Positions, chunks, text_or_empty, utf8_list
+from .base import Positions, chunks, text_or_empty, tidy, utf8_list
 from .kernels import Words, factors
 
 BYTES, SHAPES, EXTRA = 1024, 512, 48
@@ -149,7 +149,7 @@ def fitted(docs: DataFrame, labels: DataFrame, fit: Fit = Fit(), key: str = "doc
         part = usable.where(F.col("__y") == y).orderBy(F.xxhash64("__k"), "__k").limit(fit.labelled)
         sample = part if sample is None else sample.unionByName(part)
     chosen = docs.select(F.col(key).alias("__k"), text_or_empty(text).alias("__t")).join(F.broadcast(sample), "__k")  # at most 2 * fit.labelled rows
-    rows = chosen.select("__y", "__t").mapInArrow(_vectors, "y int, v binary").collect()
+    rows = chosen.select("__y", "__t").mapInArrow(tidy(_vectors), "y int, v binary").collect()
     rows.sort(key=lambda r: (r["y"], bytes(r["v"])))
     counts = np.frombuffer(b"".join(bytes(r["v"]) for r in rows), "<f4").reshape(len(rows), TERMS)
     return train(counts, np.array([r["y"] for r in rows], np.float32), fit)
@@ -180,7 +180,7 @@ def scored(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text
             yield pa.RecordBatch.from_arrays([*b.columns[:n], pa.array(out, pa.float64())], [*b.schema.names[:n], "quality_score"])
 
     schema = T.StructType([T.StructField(c, f.dataType) for c, f in zip(own.plain, own.fields, strict=True)] + [T.StructField("quality_score", T.DoubleType())])
-    return own.back(rows.mapInArrow(run, schema), "quality_score")
+    return own.back(rows.mapInArrow(tidy(run), schema), "quality_score")
 
 
 def quality(docs: DataFrame, labels: DataFrame, fit: Fit = Fit(), key: str = "doc_id") -> DataFrame:

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .base import SPACE, Bloom, Positions, bloom_of, chunks, discard, text_or_empty, utf8_list, written
+from .base import SPACE, Bloom, Positions, bloom_of, chunks, discard, text_or_empty, tidy, utf8_list, written
 
 _NONE = -(2**63)
 #: Holders of a window that round 2 tries. Decides only how much is left to round 3, which tries all.
@@ -147,7 +147,7 @@ def _postings(arrays: DataFrame, min_words: int) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, k - lo), b.column(1).slice(lo, k - lo), pa.array(found, pa.list_(pa.int64()))], ["i", "tk", "x"])
                     lo, held, found = k, 0, []
 
-    return arrays.select("i", "tk", "h", "w").mapInArrow(run, "i long, tk long, x array<long>").select(F.struct("i", "tk").alias("d"), F.explode("x").alias("x"))
+    return arrays.select("i", "tk", "h", "w").mapInArrow(tidy(run), "i long, tk long, x array<long>").select(F.struct("i", "tk").alias("d"), F.explode("x").alias("x"))
 
 
 def _holders(arrays: DataFrame, asked: Bloom | None, lines: Bloom | None, min_words: int) -> DataFrame:
@@ -186,7 +186,7 @@ def _holders(arrays: DataFrame, asked: Bloom | None, lines: Bloom | None, min_wo
                 x += found.tolist()
             yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in (i, tk, c, x)], ["i", "tk", "c", "x"])
 
-    return arrays.select("i", "tk", "h", "w").mapInArrow(run, "i long, tk long, c long, x long").select("x", "c", F.struct("i", "tk").alias("e"))
+    return arrays.select("i", "tk", "h", "w").mapInArrow(tidy(run), "i long, tk long, c long, x long").select("x", "c", F.struct("i", "tk").alias("e"))
 
 
 def _aligned(pairs: DataFrame, arrays: DataFrame, min_words: int) -> DataFrame:
@@ -212,7 +212,7 @@ def _aligned(pairs: DataFrame, arrays: DataFrame, min_words: int) -> DataFrame:
     one = pairs.groupBy("d", "e").agg(F.collect_set("x").alias("x")).select(F.col("d.i").alias("i"), F.col("d.tk").alias("tk"), F.col("e.i").alias("ei"), F.col("e.tk").alias("etk"), "x")
     other = arrays.select(F.col("i").alias("ei"), F.col("tk").alias("etk"), F.col("h").alias("eh"))
     both = written(one, "overlaps").join(arrays, ["i", "tk"]).join(other, ["ei", "etk"]).select("i", "tk", "h", "w", "eh", "x")
-    return written(both.mapInArrow(run, f"i long, tk long, gone array<int>, left {_LEFT}").where("size(gone) > 0 or size(left) > 0"), "aligned")
+    return written(both.mapInArrow(tidy(run), f"i long, tk long, gone array<int>, left {_LEFT}").where("size(gone) > 0 or size(left) > 0"), "aligned")
 
 
 def _gone(aligned: DataFrame) -> DataFrame:
@@ -304,7 +304,7 @@ def without_shared_lines(docs: DataFrame, key: str = "doc_id", text: str = "text
                 yield pa.RecordBatch.from_arrays([*b.columns[:n], pa.array(total, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.large_binary()).cast(pa.large_string()).cast(pa.string())], [*names, *_ADDED])
 
     schema = T.StructType([T.StructField(c, f.dataType) for f, c in zip(own.fields, own.plain, strict=True)] + [T.StructField("n_lines", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_text", T.StringType())])
-    return own.back(rows.mapInArrow(apply, schema), *_ADDED)
+    return own.back(rows.mapInArrow(tidy(apply), schema), *_ADDED)
 
 
 _ADDED = ("n_lines", "n_removed", "kept_text")

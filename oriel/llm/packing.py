@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .base import text_or_empty, written
+from .base import text_or_empty, tidy, written
 from .bpe import encoded, encoder
 
 
@@ -116,7 +116,7 @@ def pieces(docs: DataFrame, capacity: Capacity, key: str = "doc_id", text: str =
                 columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), *columns], names)
 
-    return docs.select(F.col(key).alias("k"), text_or_empty(text).alias("t")).mapInArrow(run, f"k {kind}, piece int, start long, length long, ids_crc32 long, part int, nth long")
+    return docs.select(F.col(key).alias("k"), text_or_empty(text).alias("t")).mapInArrow(tidy(run), f"k {kind}, piece int, start long, length long, ids_crc32 long, part int, nth long")
 
 
 def packed(docs: DataFrame, capacity: Capacity = Capacity(), key: str = "doc_id", text: str = "text", path: str | None = None) -> DataFrame:
@@ -149,5 +149,5 @@ def packed(docs: DataFrame, capacity: Capacity = Capacity(), key: str = "doc_id"
             yield pa.RecordBatch.from_arrays([*b.columns[2:], b.column(0), pa.array(own[at, 2] + j // own[at, 3]), pa.array(own[at, 4] + j % own[at, 3] * length)], ["k", "piece", "start", "ids_crc32", "length", "sequence_id", "offset"])
 
     kind = dict(docs.dtypes)[key]
-    out = ranked.select("length", "rank", "k", "piece", "start", "ids_crc32").mapInArrow(place, f"k {kind}, piece int, start long, ids_crc32 long, length long, sequence_id long, offset long")
+    out = ranked.select("length", "rank", "k", "piece", "start", "ids_crc32").mapInArrow(tidy(place), f"k {kind}, piece int, start long, ids_crc32 long, length long, sequence_id long, offset long")
     return out.select(F.col("k").alias(key), "piece", "start", "length", "ids_crc32", "sequence_id", "offset")

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .base import MOST_BITS, Positions, bloom_of, chunks, discard, text_or_empty, utf8_list, written
+from .base import MOST_BITS, Positions, bloom_of, chunks, discard, text_or_empty, tidy, utf8_list, written
 from .kernels import Words
 
 WINDOW, GRAM = 35, 12
@@ -74,7 +74,7 @@ def run_of(docs: DataFrame, text: str = "text", window: int = WINDOW, gram: int
                 n = np.searchsorted(grams, keys, "right") - np.searchsorted(grams, keys, "left")
                 yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n.astype(np.int64))], ["fp", "n"])
 
-    found = docs.select(text_or_empty(text).alias("t")).mapInArrow(emit, "fp long, n long")
+    found = docs.select(text_or_empty(text).alias("t")).mapInArrow(tidy(emit), "fp long, n long")
     return found.groupBy("fp").agg(F.sum("n").alias("n")).sortWithinPartitions("fp")
 
 
@@ -230,13 +230,13 @@ def repeated_places(docs: DataFrame, index: FingerprintIndex, most_bits: int = M
                     at = pa.array(pair["d"] + lo)
                     yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), pa.array(pair["f"].astype(np.uint64).view(np.int64))], ["i", "tk", "fp"])
 
-        marked = docs.select("i", "tk", "t").mapInArrow(prints, "i long, tk long, fp long").join(index.repeated().hint("merge"), "fp", "left_semi")
+        marked = docs.select("i", "tk", "t").mapInArrow(tidy(prints), "i long, tk long, fp long").join(index.repeated().hint("merge"), "fp", "left_semi")
         marked = marked.groupBy("i", "tk").agg(F.collect_set("fp").alias("fps"))  # bounded by the document's own length
         docs = docs.join(marked.hint("merge"), ["i", "tk"]).select("i", "tk", "t", "fps")
     else:
         docs = docs.select("i", "tk", "t")
     shared = spark.sparkContext.broadcast(sieve)
-    asked = docs.mapInArrow(_requests(shared, buckets, groups, window, gram), "bucket long, g long, i long, tk long, blob binary")
+    asked = docs.mapInArrow(tidy(_requests(shared, buckets, groups, window, gram)), "bucket long, g long, i long, tk long, blob binary")
     if groups == 1:
         found = asked.select("bucket", "i", "tk", "blob").repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_verified(True), _PLACES)
     else:
@@ -300,7 +300,7 @@ def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
                 yield pa.RecordBatch.from_arrays([*[b.column(c).slice(lo, hi - lo) for c in range(n)], pa.array(total, pa.int64()), pa.array(removed, pa.int64()), pa.array(words, pa.binary()).cast(pa.string()), pa.array(kept, pa.binary()).cast(pa.string())], [*plain, *_ADDED])
 
     schema = T.StructType([T.StructField(c, f.dataType) for f, c in zip(own.fields, plain, strict=True)] + [T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_words", T.StringType()), T.StructField("kept_text", T.StringType())])
-    return own.back(rows.mapInArrow(apply, schema), *_ADDED)
+    return own.back(rows.mapInArrow(tidy(apply), schema), *_ADDED)
 
 
 _ADDED = ("n_words", "n_removed", "kept_words", "kept_text")

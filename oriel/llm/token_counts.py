@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .base import text_or_empty, written
+from .base import text_or_empty, tidy, written
 from .bpe import encoded, encoder
 
 #: Ids in a block, blocks in a segment of the prefix scan.
@@ -65,7 +65,7 @@ def token_files(docs: DataFrame, key: str = "doc_id", text: str = "text", path:
             done += 1
 
     schema = T.StructType([T.StructField("file", T.LongType()), T.StructField("block", T.LongType()), T.StructField("tokens", T.BinaryType()), T.StructField("first", T.LongType()), T.StructField("keys", T.ArrayType(kind))])
-    rows = written(docs.select(F.col(key).alias("k"), text_or_empty(text).alias("t")).mapInArrow(run, schema), "token-files")
+    rows = written(docs.select(F.col(key).alias("k"), text_or_empty(text).alias("t")).mapInArrow(tidy(run), schema), "token-files")
     manifest = rows.where("keys is not null").select("file", "first", F.posexplode("keys").alias("i", "key")).select("file", (F.col("first") + F.col("i")).alias("ordinal"), "key")
     return rows.where("tokens is not null").select("file", "block", "tokens"), manifest
 
@@ -89,7 +89,7 @@ def document_lengths(blocks: DataFrame, end_id: int = 50256) -> DataFrame:
                 heads.append(at.astype(np.int32))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64()), pa.array(total, pa.int64()), pa.array(last, pa.int64()), pa.array(heads, pa.list_(pa.int32()))], ["file", "block", "n", "total", "last", "ends"])
 
-    seen = written(blocks.select("file", "block", "tokens").mapInArrow(scan, "file long, block long, n long, total long, last long, ends array<int>"), "block-ends")
+    seen = written(blocks.select("file", "block", "tokens").mapInArrow(tidy(scan), "file long, block long, n long, total long, last long, ends array<int>"), "block-ends")
     seen = seen.withColumn("segment", F.floor(F.col("block") / SEGMENT))
     # level 1: within a segment; positions count from the segment's start
     w = Window.partitionBy("file", "segment").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
